@@ -182,7 +182,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not needed:
         return sql
-    ctes = ",\n".join(f"{name} AS ({views[name]})" for name in views if name in needed)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({views[name]})" for name in views if name in needed)
     if re.match(r"\s*WITH\b", sql, re.I):
         return f"WITH {ctes},\n{re.sub(r'^\s*WITH', '', sql, count=1, flags=re.I)}"
     return f"WITH {ctes}\n{sql}"
