@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolecall.plans.store import Store
+
 AS_OF = "2001-08-01"
 
 
@@ -127,6 +129,10 @@ class Fixtures:
     def resume_vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("resume_id"), "embedding")
 
+    @cached_property
+    def store(self) -> Store:
+        return Store(**{name: getattr(self, name) for name in Store.__dataclass_fields__})
+
 
 # The same views in SQL, in dependency order.
 VIEWS = {

@@ -65,8 +65,8 @@ def sql_strip(column: str) -> str:
 
 LINES = f"""
     SELECT resume_id, list_transform(list_filter(string_split({sql_strip('summary')}, chr(10)),
-               l -> {sql_strip('l')} <> '' AND starts_with(l, '- ')),
-           l -> {sql_strip(f"replace({sql_strip(f'substr({sql_strip("l")}, 2)')}, ' -> ', ', ')")}) AS lines
+               lambda l: {sql_strip('l')} <> '' AND starts_with(l, '- ')),
+           lambda l: {sql_strip(f"replace({sql_strip(f'substr({sql_strip("l")}, 2)')}, ' -> ', ', ')")}) AS lines
     FROM summaries"""
 
 
@@ -117,7 +117,7 @@ MATCH_VIEWS = {
 
 def matches(fx: Fixtures, **options):
     named = matching.named_experiences(fx.resumes, fx.companies, fx.company_alternate_names)
-    return matching.match_jobs(fx.resume_vectors, fx, named, **options)
+    return matching.match_jobs(fx.resume_vectors, fx.store, named, **options)
 
 
 def answers(fx: Fixtures):
@@ -263,7 +263,7 @@ def cover_letter_prompts(fx: Fixtures):
     from rolecall.operators.knn import top_k
 
     wanted = top_k(fx.resume_vectors, fx.job_embeddings, 2).select("resume_id", "job_id")
-    return prompts.cover_letter_prompts(wanted, fx.resumes, fx)
+    return prompts.cover_letter_prompts(wanted, fx.resumes, fx.store)
 
 
 @check("p3_summary_messages", f"""

@@ -201,7 +201,7 @@ SURVIVORS = """
 })
 def cascade_delete(fx: Fixtures):
     """One company and one tag go, with everything below them."""
-    left = merge.cascade_delete(fixture_store(fx), companies=fx.companies.where("id = 2").select("id"), tags=fx.tags.where("id = 7").select("id"))
+    left = merge.cascade_delete(fx.store, companies=fx.companies.where("id = 2").select("id"), tags=fx.tags.where("id = 7").select("id"))
     keys = {
         "companies": ["id"], "company_alternate_names": ["company_id", "alternate_name"], "affiliate_companies": ["id"], "tags": ["id"],
         "job_info": ["id"], "sentences": ["job_id", "type", "sentence_index"], "job_embeddings": ["job_id"], "job_tags": ["job_id", "tag_id"],
@@ -216,10 +216,6 @@ def cascade_delete(fx: Fixtures):
     return whole
 
 
-def fixture_store(fx: Fixtures) -> Store:
-    return Store(**{name: getattr(fx, name) for name in Store.__dataclass_fields__})
-
-
 @check("i10_constraint_check", """
     SELECT 'job_info' AS table_name, 'not_null(job_title)' AS constraint_name, count(*) FILTER (id % 20 = 0) AS violations FROM job_info
     UNION ALL SELECT 'job_info', 'unique(link)', CAST(count(*) - count(DISTINCT link) AS BIGINT) FROM (SELECT CASE WHEN id % 30 = 0 THEN 'same' ELSE link END AS link FROM job_info)
@@ -232,7 +228,7 @@ def fixture_store(fx: Fixtures) -> Store:
     UNION ALL SELECT 'job_tags', 'foreign(tag_id -> tags)', count(*) FILTER (tag_id = 4) FROM job_tags""")
 def constraint_check(fx: Fixtures):
     """Tables damaged on a rule: null titles, repeated links, a missing company and tag, a wrong type word, short vectors."""
-    store = fixture_store(fx)
+    store = fx.store
     jobs = store.job_info.withColumns({
         "job_title": F.when(F.col("id") % 20 != 0, F.col("job_title")),
         "link": F.when(F.col("id") % 30 == 0, F.lit("same")).otherwise(F.col("link")),
@@ -329,7 +325,7 @@ def tag_table_fill(fx: Fixtures):
 def table_sink(fx: Fixtures):
     """A store version written and read again."""
     root = scratch_path(fx.spark, "sink")
-    store = fixture_store(fx)
+    store = fx.store
     text_ids = store.with_tables(
         job_info=store.job_info.withColumns({"id": F.col("id").cast("string"), "created_at": F.col("updated_at").cast("timestamp"), "updated_at": F.col("updated_at").cast("timestamp")}),
         sentences=store.sentences.withColumns({"job_id": F.col("job_id").cast("string"), "embedding": F.lit(None).cast("array<float>")}),

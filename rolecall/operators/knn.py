@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolecall.functions.text import computed_once
 from rolecall.functions.vectors import cosine_distance
 from rolecall.session import materialise
 
@@ -193,6 +194,7 @@ def _cells_left(asked, found, placed, centroids, query_id: str, k: int) -> DataF
 
 def one_query(items: DataFrame, query: DataFrame, k: int, item_id: str = "job_id", vector: str = "embedding") -> DataFrame:
     """Top-k for a single query vector (a one-row DataFrame): a scan with a bounded heap, no join."""
-    distance = cosine_distance(F.col(vector), query.select(vector).scalar())
-    ranked = items.select(item_id, distance.alias("distance")).where(F.col("distance").isNotNull())
+    beside = computed_once(items, [item_id, vector], [query.select(vector).scalar().alias("asked")])
+    distance = cosine_distance(F.col(vector), F.col("asked"))
+    ranked = beside.select(item_id, distance.alias("distance")).where(F.col("distance").isNotNull())
     return ranked.orderBy(F.round("distance", TIE_DIGITS), item_id).limit(k)
