@@ -8,7 +8,7 @@ from rolecall.checks.parsing import q
 from rolecall.checks.registry import check
 from rolecall.operators import answers
 from rolecall.operators.model_batch import embed_sentences, split_good_failed
-from rolecall.operators.sentences import rows_per_job, sentences_to_embed, vectors_from_batches
+from rolecall.operators.sentences import rows_per_job, sentences_to_embed, store_batches, vectors_from_batches
 
 
 def stub_embedding(texts):
@@ -42,6 +42,28 @@ def model_batch(fx: Fixtures):
     )
 
 
+@check("i7_store_batches", """
+    WITH done AS (
+        SELECT job_id, CAST(avg(length(t)) AS FLOAT) AS mean FROM (SELECT job_id, unnest(texts) AS t, texts[1] AS head FROM batches)
+        WHERE NOT starts_with(head, 'D') GROUP BY job_id)
+    SELECT coalesce(o.job_id, d.job_id) AS job_id, round(CAST(coalesce(d.mean, o.embedding[1]) AS DOUBLE), 4) AS first_value
+    FROM job_embeddings o FULL JOIN done d ON d.job_id = o.job_id""", STUB_VIEWS)
+def stored_means(fx: Fixtures):
+    """Means of freshly embedded postings beside the vectors of the others."""
+    good, _ = run(fx)
+    _, means = store_batches(fx.sentences.withColumn("embedding", F.lit(None).cast("array<float>")), fx.job_embeddings, good)
+    return means.select("job_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"))
+
+
+@check("i7_store_sentence_batches", """
+    SELECT s.job_id, s.type, s.sentence_index, s.sentence, CASE WHEN j.is_active AND NOT starts_with(b.texts[1], 'D') THEN CAST(length(s.sentence) AS BIGINT) END AS width
+    FROM sentences s LEFT JOIN job_info j ON j.id = s.job_id LEFT JOIN batches b ON b.job_id = s.job_id""", STUB_VIEWS)
+def stored_sentences(fx: Fixtures):
+    good, _ = run(fx)
+    rows, _ = store_batches(fx.sentences.withColumn("embedding", F.lit(None).cast("array<float>")), fx.job_embeddings, good)
+    return rows.select("job_id", "type", "sentence_index", "sentence", F.get("embedding", F.lit(0)).cast("long").alias("width"))
+
+
 @check("j5_model_failures", "SELECT job_id, 'ValueError: refused' AS error FROM batches WHERE starts_with(texts[1], 'D')", STUB_VIEWS)
 def model_failures(fx: Fixtures):
     _, failed = run(fx)

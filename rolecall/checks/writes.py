@@ -9,7 +9,7 @@ from rolecall.checks.fixtures import Fixtures
 from rolecall.checks.parsing import q, sql_any
 from rolecall.checks.registry import check
 from rolecall.operators import constraints, merge
-from rolecall.operators.sentences import posting_sentences, store_vectors
+from rolecall.operators.sentences import posting_sentences, update_vectors, upsert_means
 from rolecall.operators.tagging import assign_tags, fill_job_tags
 from rolecall.plans import ingest
 from rolecall.plans.store import Store
@@ -150,8 +150,6 @@ def deactivate_stale(fx: Fixtures):
 
 
 @check("i7_upsert_vectors", """
-    WITH means AS (SELECT label AS k, list(embedding) AS e FROM embeddings GROUP BY label),
-    fresh AS (SELECT vec_id, embedding[1] AS a, embedding[2] AS b FROM embeddings)
     SELECT CAST(coalesce(o.vec_id, n.job_id) AS BIGINT) AS job_id,
            round(CAST(CASE WHEN n.job_id IS NOT NULL THEN CAST(n.m AS FLOAT) ELSE o.embedding[1] END AS DOUBLE), 4) AS first_value
     FROM (SELECT * FROM embeddings WHERE vec_id % 3 <> 0) o
@@ -160,8 +158,7 @@ def upsert_vectors(fx: Fixtures):
     """Means of new sentence vectors replace known ones or are added; others stay."""
     old = fx.job_embeddings.where("job_id % 3 <> 0")
     embedded = fx.sentences.where("job_id % 2 = 0").withColumn("embedding", F.array(F.length("sentence").cast("float")))
-    sentences = fx.sentences.withColumn("embedding", F.lit(None).cast("array<float>"))
-    _, means = store_vectors(sentences, old, embedded)
+    means = upsert_means(old, embedded)
     return means.select("job_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"))
 
 
@@ -170,7 +167,7 @@ def upsert_vectors(fx: Fixtures):
 def update_sentence_vectors(fx: Fixtures):
     old = fx.sentences.withColumn("embedding", F.array(F.lit(-1).cast("float")))
     embedded = fx.sentences.where("job_id % 2 = 0").withColumn("embedding", F.array(F.length("sentence").cast("float")))
-    updated, _ = store_vectors(old, fx.job_embeddings, embedded.select("job_id", "type", "sentence_index", "embedding"))
+    updated = update_vectors(old, embedded.select("job_id", "type", "sentence_index", "embedding"))
     return updated.select("job_id", "type", "sentence_index", F.get("embedding", F.lit(0)).cast("long").alias("width"))
 
 

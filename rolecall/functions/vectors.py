@@ -22,3 +22,11 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - cosine_similarity(a, b)
+
+
+def mean_vector(vectors: Column) -> Column:
+    """Element-wise mean of an `array<array<float>>`, in the row it lies in; null when empty."""
+    first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double"))
+    rest = F.slice(vectors, F.lit(2), F.greatest(F.size(vectors) - 1, F.lit(0)))
+    total = F.aggregate(rest, first, lambda sums, v: F.zip_with(sums, v, lambda s, x: s + x.cast("double")))
+    return F.transform(total, lambda s: s / F.size(vectors))

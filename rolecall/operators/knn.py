@@ -100,19 +100,34 @@ def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(visits: DataFrame, items: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
-    """Best k per query and block for the cells each query visits: (query_id, item_id, similarity)."""
-    load = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks"))
-    size = items.groupBy("cell").agg(F.ceil(F.count("*") / ITEM_BLOCK).alias("item_blocks"))
-    blocks = F.broadcast(load.join(size, "cell"))  # one row per cell, at most MAX_CELLS rows
+    """Best k per query and block for the cells each query visits: (query_id, item_id, similarity).
+
+    Without a `cell` column everything is one cell.
+    """
+    query_blocks = F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks")
+    item_blocks = F.ceil(F.count("*") / ITEM_BLOCK).alias("item_blocks")
+    if "cell" in visits.columns:
+        # One row per cell, at most MAX_CELLS rows.
+        blocks = F.broadcast(visits.groupBy("cell").agg(query_blocks).join(items.groupBy("cell").agg(item_blocks), "cell"))
+
+        def sized(df: DataFrame) -> DataFrame:
+            return df.join(blocks, "cell")
+    else:
+        counts = [visits.agg(query_blocks).scalar(), items.agg(item_blocks).scalar()]
+
+        def sized(df: DataFrame) -> DataFrame:
+            return computed_once(df.withColumn("cell", F.lit(0)), df.columns + ["cell"], [
+                F.greatest(counts[0], F.lit(1)).alias("query_blocks"), F.greatest(counts[1], F.lit(1)).alias("item_blocks")
+            ])
 
     def spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         own_block = F.pmod(F.xxhash64(id_col), F.col(f"{own}_blocks")).alias(f"{own}_block")
-        return df.join(blocks, "cell").select(
+        return sized(df).select(
             id_col, "v", "cell", own_block, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
         )
 
     left = spread(visits, query_id, "query", "item")
-    right = spread(items.select(item_id, "v", "cell"), item_id, "item", "query")
+    right = spread(items, item_id, "item", "query")
     schema = f"{query_id} {dict(visits.dtypes)[query_id]}, {item_id} {dict(items.dtypes)[item_id]}, similarity double"
 
     def block(asked: pa.Table, offered: pa.Table) -> pa.Table:
@@ -156,8 +171,7 @@ def top_k(
     if cells is None:
         cells = min(MAX_CELLS, math.ceil(max(1, items.count()) / CELL_ROWS))
     if cells <= 1:
-        single = F.lit(0).alias("cell")
-        return keep_best(_search(asked.select("*", single), offered.select("*", single), query_id, item_id, k), query_id, item_id, k)
+        return keep_best(_search(asked, offered, query_id, item_id, k), query_id, item_id, k)
 
     centroids = centroids_of(offered, cells)
     placed = materialise(_into_cells(offered, centroids))  # read several times below

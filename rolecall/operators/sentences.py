@@ -7,7 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.operators.merge import upsert
+from rolecall.functions.vectors import mean_vector
+from rolecall.operators.merge import replace_children, upsert
 
 KEY = ["job_id", "type", "sentence_index"]
 
@@ -53,26 +54,40 @@ def mean_vectors(vectors: DataFrame, key: str | list[str] | None, column: str =
 
 
 def vectors_from_batches(batches: DataFrame) -> DataFrame:
-    """Model batches (job_id, rows, vectors) back to one row per sentence."""
+    """Model batches (job_id, rows, vectors) back to one row per sentence, its vector beside it."""
     pairs = F.arrays_zip(F.col("rows"), F.col("vectors"))
     return batches.select("job_id", F.explode(pairs).alias("pair")).select(
-        "job_id", "pair.rows.type", "pair.rows.sentence_index", F.col("pair.vectors").alias("embedding")
+        "job_id", "pair.rows.*", F.col("pair.vectors").alias("embedding")
     )
 
 
-def store_vectors(sentences: DataFrame, job_embeddings: DataFrame, embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Put new sentence vectors in place (no new sentence rows) and insert or update the mean vectors."""
-    # Several rows may share the key (it is not unique); each of them takes the one vector.
+def store_batches(sentences: DataFrame, job_embeddings: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Store the vectors of whole postings: sentence rows with their vectors, and the mean per posting.
+
+    A batch holds all sentences of its posting, so its rows replace the old ones as they are, and the
+    mean is taken inside the row: only the ids of the embedded postings take part in a join.
+    """
+    rows = replace_children(sentences, vectors_from_batches(batches).select(*sentences.columns), "job_id")
+    means = batches.select("job_id", mean_vector(F.col("vectors")).cast("array<float>").alias("embedding"))
+    return rows, upsert(job_embeddings, means, ["job_id"], ["embedding"])
+
+
+def update_vectors(sentences: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Set the vectors of single sentences by (job, type, index); nothing is added.
+
+    The key is not unique: all rows that share it take the one vector.
+    """
     fresh = embedded.groupBy(*KEY).agg(F.first("embedding", ignorenulls=True).alias("new_embedding"))
-    joined = sentences.join(fresh, KEY, "left")
-    updated = joined.withColumn(
-        "embedding",
-        F.coalesce("new_embedding", "embedding").cast(sentences.schema["embedding"].dataType),
-    ).select(*sentences.columns)
-    means = mean_vectors(embedded, "job_id").select(
-        "job_id", F.col("embedding").cast(job_embeddings.schema["embedding"].dataType).alias("embedding")
-    )
-    return updated, upsert(job_embeddings, means, ["job_id"], ["embedding"])
+    kind = sentences.schema["embedding"].dataType
+    changed = F.coalesce("new_embedding", "embedding").cast(kind)
+    return sentences.join(fresh, KEY, "left").withColumn("embedding", changed).select(*sentences.columns)
+
+
+def upsert_means(job_embeddings: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Insert or update the mean vector of every posting among single sentence vectors."""
+    kind = job_embeddings.schema["embedding"].dataType
+    means = mean_vectors(embedded, "job_id").select("job_id", F.col("embedding").cast(kind).alias("embedding"))
+    return upsert(job_embeddings, means, ["job_id"], ["embedding"])
 
 
 def ordered_text(parts: DataFrame, key: str, seq: str, text: str, separator: str, out: str) -> DataFrame:

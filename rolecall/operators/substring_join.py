@@ -9,9 +9,7 @@ first s characters, so the pair is always found. Candidates are then verified on
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LISTED_PATTERNS = 256
@@ -28,6 +26,23 @@ def _class_of(length):
     return (F.length(F.bin(length)) - 1).cast("int")
 
 
+def _pattern_grams(pattern: str, cls: int) -> Column:
+    """The grams at a pattern's first positions; null for patterns of another class."""
+    width, stride = _class_shape(cls)
+    grams = F.transform(
+        F.sequence(F.lit(1), F.lit(stride)),
+        lambda at: F.xxhash64(F.lit(cls), F.substring(F.col(pattern), at, F.lit(width))),
+    )
+    return F.when(F.col("cls") == cls, F.array_distinct(grams))
+
+
+def _text_grams(text: str, cls: int) -> Column:
+    """The grams at every stride-th position, in one linear pass: look ahead for a gram, then step on."""
+    width, stride = _class_shape(cls)
+    sampled = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}})).{{{stride}}}"), F.lit(1))
+    return F.transform(sampled, lambda gram: F.xxhash64(F.lit(cls), gram))
+
+
 def short_list(patterns: DataFrame, limit: int = MAX_LISTED_PATTERNS) -> bool:
     return patterns.limit(limit + 1).count() <= limit
 
@@ -46,32 +61,19 @@ def substring_join(
         pairs = texts.join(F.broadcast(distinct), F.contains(text, F.col(pattern)))
         return pairs.select(text_id, pattern)
 
-    classed = distinct.withColumn("cls", _class_of(F.length(pattern)))
-    present = [row.cls for row in classed.where(F.length(pattern) > 0).select("cls").distinct().collect()]
-    candidates = []
-    for cls in sorted(present):
-        width, stride = _class_shape(cls)
-        in_class = classed.where((F.length(pattern) > 0) & (F.col("cls") == cls))
-        pattern_grams = in_class.select(
-            pattern,
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.lit(stride)),
-                        lambda at: F.xxhash64(F.substring(F.col(pattern), at, F.lit(width))),
-                    )
-                )
-            ).alias("gram"),
-        )
-        # One linear pass over the text: look ahead for the gram, then step on by the stride.
-        sampled = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}})).{{{stride}}}"), F.lit(1))
-        text_grams = texts.select(
-            text_id, F.explode(F.array_distinct(F.transform(sampled, lambda gram: F.xxhash64(gram)))).alias("gram")
-        )
-        candidates.append(text_grams.join(pattern_grams, "gram").select(text_id, pattern))
+    full = distinct.where(F.length(pattern) > 0).withColumn("cls", _class_of(F.length(pattern)))
+    blank = distinct.where(F.length(pattern) == 0)  # at most one row
     whole = texts.select(text_id, text)
-    verified = (
-        reduce(DataFrame.unionByName, candidates).distinct().join(whole, text_id).where(F.contains(text, F.col(pattern)))
-    ).select(text_id, pattern)
-    blank = distinct.where(F.length(pattern) == 0)
-    return verified.unionByName(whole.join(F.broadcast(blank), F.lit(True)).select(text_id, pattern))
+    in_all = whole.where(F.col(text).isNotNull()).join(F.broadcast(blank)).select(text_id, pattern)
+    classes = sorted(row.cls for row in full.select("cls").distinct().collect())  # at most 31 rows
+    if not classes:
+        return in_all
+
+    # Both sides are read once; a gram's hash includes its class.
+    pattern_grams = full.select(pattern, F.explode(F.coalesce(*[_pattern_grams(pattern, c) for c in classes])).alias("gram"))
+    text_grams = texts.select(
+        text_id, F.explode(F.array_distinct(F.concat(*[_text_grams(text, c) for c in classes]))).alias("gram")
+    )
+    candidates = text_grams.join(pattern_grams, "gram").select(text_id, pattern).distinct()
+    verified = candidates.join(whole, text_id).where(F.contains(text, F.col(pattern)))
+    return verified.select(text_id, pattern).unionByName(in_all)
