@@ -29,7 +29,7 @@ def substring_join(fx: Fixtures):
 @check("d8_substring_join_grams", "SELECT * FROM named", NAMED)
 def substring_join_grams(fx: Fixtures):
     """The same through the equi-join used for long name lists."""
-    return matching.named_experiences(fx.resumes, fx.companies, fx.company_alternate_names, max_listed=0)
+    return matching.named_experiences(fx.resumes, fx.companies, fx.company_alternate_names, max_listed=-1)
 
 
 # --------------------------------------------------------------------------- texts and lines

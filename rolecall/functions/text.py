@@ -158,9 +158,20 @@ def without_silent(html: Column) -> Column:
     return F.regexp_replace(html, _SILENT, "")
 
 
-def text_of(fragment: Column, separator: str = "\n") -> Column:
-    """Text nodes of a fragment, stripped, empty ones dropped, joined."""
-    nodes = F.split(without_silent(fragment), r"(?s)<[/A-Za-z][^>]*>")
+# A character that no text may hold. Marking regex hits with it and splitting there is much cheaper than
+# splitting by the regex, which would be compiled again for every row.
+_MARK = "\uffff"
+
+
+def _split_before(text: Column, pattern: str, limit: int = -1) -> Column:
+    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0"), _MARK, limit)
+
+
+def text_of(fragment: Column, separator: str = "\n", clean: bool = True) -> Column:
+    """Text nodes of a fragment, stripped, empty ones dropped, joined. `clean=False` for a fragment
+    without comments and scripts, such as the functions below return."""
+    markup = without_silent(fragment) if clean else fragment
+    nodes = F.split(F.regexp_replace(markup, r"(?s)<[/A-Za-z][^>]*>", _MARK), _MARK)
     stripped = F.transform(nodes, lambda node: strip(decode_entities(node)))
     return F.array_join(F.filter(stripped, lambda node: node != ""), separator)
 
@@ -174,17 +185,19 @@ def _opening(tag: str, css_class: str | None, element_id: str | None) -> str:
     return wanted + r"[^>]*>"
 
 
-def _until_closed(rest: Column, tag: str) -> Column:
-    """Cut `rest`, which starts inside a `tag` element, where that element closes.
+def _inside(element: Column, tag: str) -> Column:
+    """The inner HTML of the `tag` element that the text starts with; what follows its end is cut.
 
     The text is split before every opening or closing `tag`; one fold over the depth finds how many
     pieces lie inside.
     """
-    pieces = F.split(rest, rf"(?i)(?=<{tag}\b)|(?=</{tag}\s*>)")
+    after_opening = F.regexp_replace(element, r"(?s)^<[^>]*>", "")
+    pieces = _split_before(after_opening, rf"(?i)</?{tag}\b")
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("inside"))
 
     def step(state: Column, piece: Column) -> Column:
-        change = F.when(piece.rlike(rf"(?i)^</{tag}\s*>"), -1).when(piece.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
+        closes, opens = piece.rlike(rf"(?i)^</{tag}\b"), piece.rlike(rf"(?i)^<{tag}\b")
+        change = F.when(closes, -1).when(opens, 1).otherwise(0)
         depth = F.when(state["depth"] > 0, state["depth"] + change).otherwise(0)
         return F.struct(
             depth.cast("int").alias("depth"),
@@ -195,22 +208,25 @@ def _until_closed(rest: Column, tag: str) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), inside), "")
 
 
-def element_html(html: Column, tag: str, css_class: str | None = None, element_id: str | None = None) -> Column:
+def element_html(
+    html: Column, tag: str, css_class: str | None = None, element_id: str | None = None, clean: bool = True
+) -> Column:
     """Inner HTML of the first matching element, nested elements of the same tag included; else null."""
-    parts = F.split(without_silent(html), _opening(tag, css_class, element_id), 2)
-    return F.when(F.size(parts) == 2, _until_closed(F.get(parts, F.lit(1)), tag))
+    parts = _split_before(without_silent(html) if clean else html, _opening(tag, css_class, element_id), 2)
+    rest = F.replace(F.get(parts, F.lit(1)), F.lit(_MARK), F.lit(""))
+    return F.when(F.size(parts) == 2, _inside(rest, tag))
 
 
 def element_text(html: Column, tag: str, css_class: str | None = None, element_id: str | None = None) -> Column:
     """Text of the first matching element, or null."""
-    return text_of(element_html(html, tag, css_class, element_id))
+    return text_of(element_html(html, tag, css_class, element_id), clean=False)
 
 
-def elements_html(html: Column, tag: str, css_class: str | None = None) -> Column:
+def elements_html(html: Column, tag: str, css_class: str | None = None, clean: bool = True) -> Column:
     """Inner HTML of every matching element, in page order (repeated cards, not nested in each other)."""
-    parts = F.split(without_silent(html), _opening(tag, css_class, None))
+    parts = _split_before(without_silent(html) if clean else html, _opening(tag, css_class, None))
     cards = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.transform(cards, lambda rest: _until_closed(rest, tag))
+    return F.transform(cards, lambda card: _inside(card, tag))
 
 
 def attribute(fragment: Column, tag: str, name: str) -> Column:

@@ -1,18 +1,23 @@
 """Join texts with the patterns they contain, exactly, without comparing all pairs.
 
-A short pattern list (checked, not assumed) is broadcast and tested text by text. A longer one goes
-through an equi-join: every pattern is represented by a few fixed-width character grams, and texts by
-their grams at regular positions. Gram width w and stride s depend on the pattern's length class so that
-w + s - 1 <= length: wherever the pattern occurs, one of the text's sampled positions falls into its
-first s characters, so the pair is always found. Candidates are then verified on the whole text.
+A pattern list of checked size goes to every task as a multi-pattern automaton, which reads each text
+once however many patterns there are. A longer list goes through an equi-join: every pattern is
+represented by a few fixed-width character grams, and texts by their grams at regular positions. Gram
+width w and stride s depend on the pattern's length class so that w + s - 1 <= length: wherever the
+pattern occurs, one of the text's sampled positions falls into its first s characters, so the pair is
+always found. Candidates are then verified on the whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_LISTED_PATTERNS = 256
+MAX_LISTED_CHARACTERS = 4_000_000
 
 
 def _class_shape(length_class: int) -> tuple[int, int]:
@@ -43,8 +48,35 @@ def _text_grams(text: str, cls: int) -> Column:
     return F.transform(sampled, lambda gram: F.xxhash64(F.lit(cls), gram))
 
 
-def short_list(patterns: DataFrame, limit: int = MAX_LISTED_PATTERNS) -> bool:
-    return patterns.limit(limit + 1).count() <= limit
+def listed_size(patterns: DataFrame, pattern: str) -> int:
+    return patterns.agg(F.coalesce(F.sum(F.length(pattern) + 1), F.lit(0))).first()[0]
+
+
+def _automaton_join(texts: DataFrame, patterns: list[str], text_id: str, text: str, pattern: str) -> DataFrame:
+    """One pass over each text with an automaton of all patterns, built once per task."""
+    schema = T.StructType([texts.select(text_id).schema[0], T.StructField(pattern, T.StringType())])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in patterns:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [{word for _, word in automaton.iter(t)} for t in batch[text]]
+            found = pd.DataFrame({text_id: batch[text_id], pattern: [list(h) for h in hits]})
+            yield found.explode(pattern).dropna(subset=[pattern])
+
+    return texts.select(text_id, text).where(F.col(text).isNotNull()).mapInPandas(find, schema)
+
+
+def _has_automaton() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
 
 
 def substring_join(
@@ -53,18 +85,18 @@ def substring_join(
     text_id: str,
     text: str,
     pattern: str,
-    max_listed: int = MAX_LISTED_PATTERNS,
+    max_listed: int = MAX_LISTED_CHARACTERS,
 ) -> DataFrame:
     """(text_id, pattern) for every distinct pattern contained in a text; empty patterns match all."""
     distinct = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct()
-    if short_list(distinct, max_listed):
-        pairs = texts.join(F.broadcast(distinct), F.contains(text, F.col(pattern)))
-        return pairs.select(text_id, pattern)
-
-    full = distinct.where(F.length(pattern) > 0).withColumn("cls", _class_of(F.length(pattern)))
     blank = distinct.where(F.length(pattern) == 0)  # at most one row
     whole = texts.select(text_id, text)
     in_all = whole.where(F.col(text).isNotNull()).join(F.broadcast(blank)).select(text_id, pattern)
+    if _has_automaton() and listed_size(distinct, pattern) <= max_listed:
+        words = [row[0] for row in distinct.where(F.length(pattern) > 0).collect()]  # size checked above
+        return _automaton_join(texts, words, text_id, text, pattern).unionByName(in_all) if words else in_all
+
+    full = distinct.where(F.length(pattern) > 0).withColumn("cls", _class_of(F.length(pattern)))
     classes = sorted(row.cls for row in full.select("cls").distinct().collect())  # at most 31 rows
     if not classes:
         return in_all

@@ -6,20 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall import fixed_values as fixed
-from rolecall.functions.text import has, has_any
 from rolecall.operators.merge import insert_ignore
 
 
+def _rule_table(rules) -> Column:
+    """The rules as one constant array, so that the expression does not grow with them."""
+    rows = []
+    for tag, words, pairs in rules:
+        pair_rows = [F.struct(F.lit(name).alias("company"), F.lit(word).alias("word")) for name, word in pairs]
+        rows.append(
+            F.struct(
+                F.lit(tag).alias("tag"),
+                F.array(*[F.lit(w) for w in words]).cast("array<string>").alias("words"),
+                F.array(*pair_rows).cast("array<struct<company:string,word:string>>").alias("pairs"),
+            )
+        )
+    return F.array(*rows)
+
+
 def assign_tags(title: Column, company: Column, rules=fixed.TAG_RULES) -> Column:
-    """Array of tags in rule order. Words match anywhere in the title, also inside longer words."""
-    lowered = F.lower(F.coalesce(title, F.lit("")))
-    names = []
-    for tag, words, company_words in rules:
-        hit = has_any(lowered, words)
-        for name, word in company_words:
-            hit = hit | ((F.coalesce(company, F.lit("")) == name) & has(lowered, word))
-        names.append(F.when(hit, F.lit(tag)))
-    return F.array_compact(F.array(*names))
+    """Array of tags in rule order. Words match anywhere in the title, also inside longer words.
+
+    The title is lower-cased once: the rules are tested inside a transform over that one value.
+    """
+    texts = F.array(F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("title"), company.cast("string").alias("company")))
+
+    def tags_of(text: Column) -> Column:
+        def hit(rule: Column) -> Column:
+            own = F.exists(rule["words"], lambda word: F.contains(text["title"], word))
+            of_company = F.exists(
+                rule["pairs"], lambda p: p["company"].eqNullSafe(text["company"]) & F.contains(text["title"], p["word"])
+            )
+            return own | of_company
+
+        return F.transform(F.filter(_rule_table(rules), hit), lambda rule: rule["tag"])
+
+    return F.get(F.transform(texts, tags_of), F.lit(0))
 
 
 def postings_with_company(job_info: DataFrame, companies: DataFrame) -> DataFrame:

@@ -111,12 +111,12 @@ def coupang_titles(rows: DataFrame, keep, raw: Column) -> DataFrame:
 
 
 def _coupang(cards: DataFrame, as_of: Column) -> DataFrame:
-    heading = text.element_html(F.col("card"), "h2", "card-title")
+    heading = text.element_html(F.col("card"), "h2", "card-title", clean=False)
     headings = text.computed_once(cards, ["page", "at"], [heading.alias("heading")])
     read = text.computed_once(
         headings,
         ["page", "at"],
-        [text.text_of(F.col("heading"), "").alias("raw"), text.attribute(F.col("heading"), "a", "href").alias("path")],
+        [text.text_of(F.col("heading"), "", clean=False).alias("raw"), text.attribute(F.col("heading"), "a", "href").alias("path")],
     ).where("path IS NOT NULL")
     rows = coupang_titles(read, ["page", "at", "path"], F.col("raw"))
     kept = rows.where(predicates.include_exclude(F.col("title"), F.col("affiliate_company_name")))
@@ -124,21 +124,21 @@ def _coupang(cards: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _daangn(cards: DataFrame, as_of: Column) -> DataFrame:
-    heading = text.text_of(text.element_html(F.col("card"), "h3", "c-boyXyq"), "")
+    heading = text.text_of(text.element_html(F.col("card"), "h3", "c-boyXyq", clean=False), "", clean=False)
     path = text.attribute(F.col("card"), "a", "href")
     rows = text.computed_once(cards, ["page", "at"], _row("daangn", text.drop_controls(heading), path))
     return rows.where(F.col("id").isNotNull() & predicates.title_has_keyword(F.col("title")))
 
 
 def _line(cards: DataFrame, as_of: Column) -> DataFrame:
-    heading = text.element_html(F.col("card"), "h3", "title")
+    heading = text.element_html(F.col("card"), "h3", "title", clean=False)
     # The heading's own text: what is left outside of nested elements, up to the first of them.
     own = F.filter(
         F.split(F.regexp_replace(heading, r"(?is)<(\w+)\b[^>]*>.*?</\1\s*>", "\x00"), "\x00"), lambda part: part != ""
     )
     title = text.strip(text.decode_entities(F.try_element_at(own, F.lit(1))))
-    day = F.substring(text.text_of(text.element_html(F.col("card"), "span", "date"), ""), 1, 10)
-    tags = text.text_of(text.element_html(F.col("card"), "div", "text_filter"), "")
+    day = F.substring(text.text_of(text.element_html(F.col("card"), "span", "date", clean=False), "", clean=False), 1, 10)
+    tags = text.text_of(text.element_html(F.col("card"), "div", "text_filter", clean=False), "", clean=False)
     path = text.attribute(F.col("card"), "a", "href")
     rows = text.computed_once(
         cards, ["page", "at"], [*_row("line", title, path, day=parse_date(day, DASHED, as_of)), tags.alias("tags")]
@@ -150,12 +150,13 @@ def _line(cards: DataFrame, as_of: Column) -> DataFrame:
 def cards(source: str, pages: DataFrame) -> DataFrame:
     """(page, at, card): the inner HTML of each card of a listing page."""
     tag, css_class = CARDS[source]
-    body = F.col("body")
+    body = text.without_silent(F.col("body"))
     if source == "line":
-        body = text.element_html(body, "ul", "job_list")
+        body = text.element_html(body, "ul", "job_list", clean=False)
     if source == "daangn":
-        body = text.element_html(body, "ul", "c-jpGEAj")
-    return pages.select("page", F.posexplode(text.elements_html(body, tag, css_class)).alias("at", "card"))
+        body = text.element_html(body, "ul", "c-jpGEAj", clean=False)
+    found = text.elements_html(body, tag, css_class, clean=False)
+    return pages.select("page", F.posexplode(found).alias("at", "card"))
 
 
 _JSON = {"naver": _naver, "baemin": _baemin, "kakao": _kakao, "flipster": _flipster, "hpcnt": _hpcnt}
