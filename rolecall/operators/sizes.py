@@ -1,0 +1,17 @@
+"""Checked broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow dimension when it is counted to be small; else leave the join to Spark.
+
+    For dimensions whose size Spark cannot tell from the files (results of a distinct or a join); tables
+    read as they are need no check, Spark knows their size.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

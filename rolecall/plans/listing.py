@@ -1,9 +1,9 @@
 """Listing and facet queries over the store tables.
 
 Everything is aggregated before it is joined: facet counts shrink to one row per key inside each
-partition before anything moves, so one company or tag holding most postings makes no hot task. No
-join is hinted: Spark broadcasts the dimension tables when their size allows and else shuffles, and
-adaptive execution splits skewed partitions.
+partition before anything moves, so one company or tag holding most postings makes no hot task.
+Dimension tables are broadcast when their size allows (Spark knows it for tables read as they are, the
+tag names are counted) and else shuffled, and adaptive execution splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions.dates import recency_flags
+from rolecall.operators.sizes import if_small
 
 
 def active(job_info: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def without_titles(sentences: DataFrame) -> DataFrame:
 def tag_arrays(job_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """(job_id, tags): the tag names of each tagged posting, sorted."""
     names = tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
-    return job_tags.join(names, "tag_id").groupBy("job_id").agg(F.sort_array(F.collect_list("tag_name")).alias("tags"))
+    return job_tags.join(if_small(names), "tag_id").groupBy("job_id").agg(F.sort_array(F.collect_list("tag_name")).alias("tags"))
 
 
 def _ordered(kind: str) -> Column:
