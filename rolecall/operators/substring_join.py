@@ -61,10 +61,12 @@ def _automaton_join(texts: DataFrame, patterns: list[str], text_id: str, text: s
 
         automaton = ahocorasick.Automaton()
         for word in patterns:
-            automaton.add_word(word, word)
+            if word:
+                automaton.add_word(word, word)
         automaton.make_automaton()
+        always = [""] if "" in patterns else []
         for batch in batches:
-            hits = [{word for _, word in automaton.iter(t)} for t in batch[text]]
+            hits = [{*always, *(word for _, word in automaton.iter(t))} for t in batch[text]] if len(automaton) else [always] * len(batch)
             found = pd.DataFrame({text_id: batch[text_id], pattern: [list(h) for h in hits]})
             yield found.explode(pattern).dropna(subset=[pattern])
 
@@ -89,23 +91,25 @@ def substring_join(
 ) -> DataFrame:
     """(text_id, pattern) for every distinct pattern contained in a text; empty patterns match all."""
     distinct = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct()
-    blank = distinct.where(F.length(pattern) == 0)  # at most one row
-    whole = texts.select(text_id, text)
-    in_all = whole.where(F.col(text).isNotNull()).join(F.broadcast(blank)).select(text_id, pattern)
     if _has_automaton() and listed_size(distinct, pattern) <= max_listed:
-        words = [row[0] for row in distinct.where(F.length(pattern) > 0).collect()]  # size checked above
-        return _automaton_join(texts, words, text_id, text, pattern).unionByName(in_all) if words else in_all
+        words = [row[0] for row in distinct.collect()]  # size checked above
+        return _automaton_join(texts, words, text_id, text, pattern)
 
-    full = distinct.where(F.length(pattern) > 0).withColumn("cls", _class_of(F.length(pattern)))
-    classes = sorted(row.cls for row in full.select("cls").distinct().collect())  # at most 31 rows
+    length = F.length(pattern)
+    classed = distinct.withColumn("cls", F.when(length > 0, _class_of(length)).otherwise(-1))
+    classes = sorted(row.cls for row in classed.select("cls").distinct().collect())  # at most 32 rows
+    blank, classes = -1 in classes, [c for c in classes if c >= 0]
+    whole = texts.select(text_id, text)
+    in_all = whole.where(F.col(text).isNotNull() & F.lit(blank)).select(text_id, F.lit("").alias(pattern))
     if not classes:
         return in_all
 
     # Both sides are read once; a gram's hash includes its class.
+    full = classed.where("cls >= 0")
     pattern_grams = full.select(pattern, F.explode(F.coalesce(*[_pattern_grams(pattern, c) for c in classes])).alias("gram"))
     text_grams = texts.select(
         text_id, F.explode(F.array_distinct(F.concat(*[_text_grams(text, c) for c in classes]))).alias("gram")
     )
     candidates = text_grams.join(pattern_grams, "gram").select(text_id, pattern).distinct()
-    verified = candidates.join(whole, text_id).where(F.contains(text, F.col(pattern)))
-    return verified.select(text_id, pattern).unionByName(in_all)
+    verified = candidates.join(whole, text_id).where(F.contains(text, F.col(pattern))).select(text_id, pattern)
+    return verified.unionByName(in_all) if blank else verified

@@ -11,6 +11,7 @@ from rolecall.functions.text import summary_lines
 from rolecall.operators.answers import parse_rerank
 from rolecall.operators.knn import TIE_DIGITS, top_k
 from rolecall.operators.sentences import mean_vectors
+from rolecall.operators.sizes import if_small
 from rolecall.operators.substring_join import substring_join
 from rolecall.plans.listing import hydrate
 
@@ -39,7 +40,7 @@ def named_experiences(resumes: DataFrame, companies: DataFrame, alternates: Data
     """
     variants = name_variants(companies, alternates).select("company_id", "name_variant")
     hits = substring_join(resumes, variants, "resume_id", "resume_text", "name_variant", **options)
-    return hits.join(variants, "name_variant").select("resume_id", "company_id").distinct()
+    return hits.join(if_small(variants), "name_variant").select("resume_id", "company_id").distinct()
 
 
 def valid_summaries(resumes: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def test_top_k_of_one_query_keeps_a_heap(fx):
 
 
 def test_no_plan_pairs_everything(fx):
-    """Besides the checked short pattern list no query joins without keys."""
+    """No query joins without keys."""
     from rolecall.checks.registry import QUERIES
     from rolecall.checks import load_all
 
@@ -73,4 +73,30 @@ def test_no_plan_pairs_everything(fx):
     for name in ("g1_listing_newest_first", "e7_company_facet_list", "d8_substring_join_grams", "i3_upsert_posting", "d14_vector_cross_join", "p2_cover_letter_prompt"):
         text = plan(QUERIES[name](fx.spark, SF_DIR))
         loops = re.findall(r"CartesianProduct|BroadcastNestedLoopJoin", text)
-        assert len(loops) <= (1 if name == "d8_substring_join_grams" else 0), name
+        assert not loops, name
+
+
+def test_bucketed_store_serves_without_shuffles_by_posting(spark, fx, tmp_path):
+    from rolecall.sources.tables import read_bucketed, save_bucketed
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS serving")
+    save_bucketed(fx.store, str(tmp_path), "serving", 4)
+    store = read_bucketed(spark, "serving")
+    listed = listing.all_active(store, as_of())
+    text = plan(listed)
+    assert not re.search(r"Exchange hashpartitioning", text), text
+    assert text.count("Exchange rangepartitioning") == 1
+    assert "SelectedBucketsCount: 4 out of 4" in text
+    assert listed.count() == listing.active(fx.job_info).count()
+    first, second = listed.drop("updated_at").collect(), listing.all_active(fx.store, as_of()).drop("updated_at").select(listed.drop("updated_at").columns).collect()
+    assert first == second
+
+
+def test_active_postings_have_their_own_partition(spark, fx, tmp_path):
+    from rolecall.sources.tables import PARTITION_BY, write_table
+
+    assert PARTITION_BY["job_info"] == ["is_active"]
+    _, stored = write_table(spark, fx.job_info, str(tmp_path), "job_info", "v1")
+    text = plan(listing.active(stored).select("id"))
+    assert re.search(r"PartitionFilters: \[[^\]]*is_active", text)
+    assert stored.count() == fx.job_info.count() and stored.where("is_active").count() == listing.active(fx.job_info).count()
