@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from rolecall import fixed_values as fixed
 from rolecall.checks.fixtures import Fixtures
-from rolecall.checks.parsing import q
 from rolecall.checks.registry import check
 from rolecall.operators import answers
 from rolecall.operators.model_batch import embed_sentences, split_good_failed

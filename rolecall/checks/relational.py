@@ -9,6 +9,7 @@ from rolecall.functions.dates import recency_flags
 from rolecall.operators import merge, tagging
 from rolecall.operators.sentences import rows_per_job, sentences_to_embed
 from rolecall.plans import listing, matching
+from rolecall.sources import tables
 
 DAY = f"DATE '{AS_OF}'"
 
@@ -277,10 +278,8 @@ def composite_sort(fx: Fixtures):
 
 @check("g6_first_row", "SELECT id, job_title, link FROM job_info WHERE is_active ORDER BY uploaded_date DESC, id LIMIT 1")
 def first_row(fx: Fixtures):
-    from rolecall.sources.tables import first_row as take_first
-
     rows = listing.active(fx.job_info).select("id", "job_title", "link", "uploaded_date")
-    return take_first(rows, F.col("uploaded_date").desc(), "id").drop("uploaded_date")
+    return tables.first_row(rows, F.col("uploaded_date").desc(), "id").drop("uploaded_date")
 
 
 @check("b13_recency_flags", f"""

@@ -1,7 +1,5 @@
 """Checks of write semantics: merges, deletes, constraints, tagging, and the incremental stream."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from rolecall import fixed_values as fixed
@@ -12,9 +10,11 @@ from rolecall.operators import constraints, merge
 from rolecall.operators.sentences import posting_sentences, update_vectors, upsert_means
 from rolecall.operators.tagging import assign_tags, fill_job_tags
 from rolecall.plans import ingest
-from rolecall.plans.store import Store
+from rolecall.plans.listing import with_company_names
+from rolecall.plans.store import Store, empty_store
 from rolecall.session import scratch_path
-from rolecall.sources.tables import read_store, write_store
+from rolecall.sources.tables import read_store, version_name, write_store
+from rolecall.streaming.incremental import ingest_available
 
 NOW = "2001-08-01 12:00:00"
 
@@ -336,8 +336,6 @@ def table_sink(fx: Fixtures):
 
 def staged(fx: Fixtures):
     """Postings as staging records: names instead of ids, one extra earlier row for every 20th link."""
-    from rolecall.plans.listing import with_company_names
-
     rows = with_company_names(fx.job_info, fx.companies, fx.affiliate_companies).select(
         "job_title", "company_name", "affiliate_company_name", "link", "team_info", "responsibilities",
         F.array("job_title", "link").alias("qualifications"), F.array("link").alias("preferred_qualifications"),
@@ -364,8 +362,6 @@ def ingested(store: Store):
     kinds = F.array_position(F.array(F.lit("required"), F.lit("preferred"), F.lit("title")), F.col("type"))
     rows = F.array_sort(F.collect_list(F.struct(kinds.alias("kind"), "sentence_index", F.concat_ws(":", "type", F.col("sentence_index").cast("string"), "sentence").alias("line"))))
     lines = store.sentences.groupBy(F.col("job_id").alias("id")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "|").alias("sentences"))
-    from rolecall.plans.listing import with_company_names
-
     named = with_company_names(store.job_info, store.companies, store.affiliate_companies)
     return named.join(lines, "id").select(
         "job_title", "company_name", "affiliate_company_name", "link", "team_info", "uploaded_date", "is_active", "sentences"
@@ -375,7 +371,6 @@ def ingested(store: Store):
 @check("i3_apply_batch", INGESTED)
 def one_batch(fx: Fixtures):
     """The whole table saved as one batch into an empty store."""
-    from rolecall.plans.store import empty_store
 
     return ingested(ingest.apply_batch(empty_store(fx.spark), staged(fx).drop("id"), now().cast("timestamp")))
 
@@ -383,9 +378,6 @@ def one_batch(fx: Fixtures):
 @check("t1_incremental_ingest", INGESTED)
 def incremental(fx: Fixtures):
     """The same rows landed as files and merged by the stream in several batches."""
-    from rolecall.plans.store import empty_store
-    from rolecall.sources.tables import version_name
-    from rolecall.streaming.incremental import ingest_available
 
     spark = fx.spark
     landing, root, progress = (scratch_path(spark, name) for name in ("landing", "store", "progress"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolecall import schemas
 
@@ -32,4 +33,8 @@ def table_schema(name: str):
 
 
 def empty_store(spark: SparkSession) -> Store:
-    return Store(**{f.name: spark.createDataFrame([], table_schema(f.name)) for f in fields(Store)})
+    def empty(name: str) -> DataFrame:
+        fields_ = table_schema(name).fields
+        return spark.range(0).select(*[F.lit(None).cast(field.dataType).alias(field.name) for field in fields_])
+
+    return Store(**{f.name: empty(f.name) for f in fields(Store)})

@@ -7,6 +7,7 @@ import decimal
 import math
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
@@ -67,24 +68,18 @@ def compare(spark, con, query, sql, sf_dir):
         extra = [x for x in a if x not in set(b)][:2]
         missing = [x for x in b if x not in set(a)][:2]
         return f"rows {len(a)} vs {len(b)}; only here {str(extra)[:700]}; only there {str(missing)[:700]}"
-    return f"EMPTY" if not a else None
+    return "EMPTY" if not a else None
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     from rolecall.checks.registry import ORACLES, QUERIES
     from rolecall.session import get_spark
-    import importlib
-
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     wanted = sys.argv[2:]
     from rolecall import checks
 
-    for module in checks.MODULES:
-        try:
-            importlib.import_module(f"rolecall.checks.{module}")
-        except ModuleNotFoundError as e:
-            print("skip", e)
+    checks.load_all()
     spark = get_spark(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
