@@ -1,6 +1,6 @@
 """Checks of sources, scalar functions and filters, over pages and titles made from the given tables.
 
-Result pages hold ten postings each (`id // 10`), as the real ones are of bounded size.
+Result pages hold 25 postings each (`id // 25`), as the real ones are of bounded size.
 """
 
 from pyspark.sql import functions as F
@@ -13,8 +13,10 @@ from rolecall.functions.dates import DASHED, DOTTED, first_token, parse_date
 from rolecall.operators.dedupe import last_wins, union_all
 from rolecall.sources import sites
 from rolecall.sources.pages import json_items
-from rolecall.sources.tables import to_json_rows
+from rolecall.session import scratch_path
+from rolecall.sources.tables import read_store, to_json_rows, version_name, write_store
 
+PAGE = 25
 DAY = f"DATE '{AS_OF}'"
 PY_TRIM = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
 
@@ -80,13 +82,13 @@ def titles(fx: Fixtures):
 
 
 def json_pages(rows, key, item, wrap):
-    """Pack items into result pages of ten; `wrap` puts the list where the source has it."""
-    pages = rows.groupBy(F.floor(F.col(key) / 10).alias("page")).agg(F.collect_list(item).alias("items"))
+    """Pack items into result pages of 25; `wrap` puts the list where the source has it."""
+    pages = rows.groupBy(F.floor(F.col(key) / PAGE).alias("page")).agg(F.collect_list(item).alias("items"))
     return pages.select("page", F.to_json(wrap(F.col("items"))).alias("body"))
 
 
 def html_pages(rows, key, card, before="", after=""):
-    pages = rows.groupBy(F.floor(F.col(key) / 10).alias("page")).agg(
+    pages = rows.groupBy(F.floor(F.col(key) / PAGE).alias("page")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), card.alias("card")))), lambda c: c["card"]), "").alias("cards")
     )
     return pages.select("page", F.concat(F.lit(f"<html><body>{before}"), "cards", F.lit(f"{after}</body></html>")).alias("body"))
@@ -102,7 +104,7 @@ def listed(rows):
 @check("a1_json_page_scan", """
     SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
 def json_page_scan(fx: Fixtures):
-    """Events packed ten to a page under a nested path, scanned back."""
+    """Events packed 25 to a page under a nested path, scanned back."""
     item = F.struct("event_id", "event_type", F.from_json("props", "k int").alias("props"))
     pages = json_pages(fx.table("events"), "event_id", item, lambda items: F.struct(F.struct(items.alias("list")).alias("data")))
     schema = "data struct<list:array<struct<event_id:bigint,event_type:string,props:struct<k:int>>>>"
@@ -385,9 +387,38 @@ def json_sink(fx: Fixtures):
     )
 
 
-@check("a7_table_scan", "SELECT id, name, parent_company_id FROM affiliate_companies")
+STORE_KEYS = {
+    "companies": "id", "company_alternate_names": "company_id", "affiliate_companies": "id", "tags": "id", "job_info": "id",
+    "sentences": "job_id", "job_embeddings": "job_id", "job_tags": "job_id",
+}
+
+
+@check("a7_table_scan", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows, count(DISTINCT {key}) AS n_keys, CAST(sum(CAST({key} AS BIGINT)) AS BIGINT) AS key_sum FROM {name}"
+    for name, key in STORE_KEYS.items()))
 def table_scan(fx: Fixtures):
-    return fx.affiliate_companies
+    """All eight tables written as a store version and scanned with their own schemas."""
+    root = scratch_path(fx.spark, "scan")
+    write_store(fx.spark, text_ids(fx.store), root, version_name(1), buckets=8)
+    parts = [
+        df.agg(F.count("*").alias("n_rows"), F.countDistinct(STORE_KEYS[name]).alias("n_keys"), F.sum(F.col(STORE_KEYS[name]).cast("long")).alias("key_sum"))
+        .select(F.lit(name).alias("table_name"), "n_rows", "n_keys", "key_sum")
+        for name, df in read_store(fx.spark, root).tables().items()
+    ]
+    return union_all(*parts)
+
+
+def text_ids(store):
+    """The fixture store with the types that stored tables have."""
+    job_info = store.job_info.withColumns({
+        "id": F.col("id").cast("string"), "created_at": F.col("updated_at").cast("timestamp"), "updated_at": F.col("updated_at").cast("timestamp"),
+    })
+    return store.with_tables(
+        job_info=job_info,
+        sentences=store.sentences.withColumns({"job_id": F.col("job_id").cast("string"), "embedding": F.lit(None).cast("array<float>")}),
+        job_embeddings=store.job_embeddings.withColumn("job_id", F.col("job_id").cast("string")),
+        job_tags=store.job_tags.withColumn("job_id", F.col("job_id").cast("string")),
+    )
 
 
 # ------------------------------------------------------------------------------------- scalars
@@ -534,3 +565,44 @@ def source_union(fx: Fixtures):
         (F.col("p_partkey") + 1000000).alias("seq"),
     )
     return last_wins(union_all(one, two), "link", "seq")
+
+
+REPEATS = 1000
+
+
+@check("h3_merged_listing", f"""
+    WITH listed AS (
+        SELECT 'flipster' AS source, CAST(id % {REPEATS} AS VARCHAR) AS key, job_title, id FROM job_info
+        UNION ALL SELECT 'kakao', CAST(id % {REPEATS - 1} AS VARCHAR), job_title || ' k', id FROM job_info)
+    SELECT source, CASE source WHEN 'flipster' THEN {sql_link("flipster", "key")} ELSE {sql_link("kakao", "key")} END AS link,
+           arg_max(job_title, id) AS title, min(id) // {PAGE} AS page, min(id) % {PAGE} AS item
+    FROM listed GROUP BY source, key""")
+def merged_pages(fx: Fixtures):
+    """Two sources over pages of 25 with links repeated in and across them: the latest row, at the place of the first."""
+    def pages(item):
+        rows = fx.job_info.groupBy(F.floor(F.col("id") / PAGE).alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("rows"))
+        # ids without a posting leave empty places, so that an item's place follows from its id
+        at = F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda k: F.get(F.filter("rows", lambda r: r["id"] % PAGE == k), F.lit(0))["item"])
+        return rows.select("page", at.alias("items"))
+
+    key = lambda n: (F.col("id") % n).cast("string")
+    flipster = F.struct(key(REPEATS).alias("id"), F.col("job_title").alias("title"), F.struct(F.lit("engineering").alias("value")).alias("team"), F.struct(F.lit("south-korea").alias("value")).alias("location"))
+    kakao = F.struct(key(REPEATS - 1).alias("realId"), F.concat("job_title", F.lit(" k")).alias("jobOfferTitle"))
+    bodies = {
+        "flipster": pages(flipster).select("page", F.to_json(F.struct(F.col("items").alias("jobs"))).alias("body")),
+        "kakao": pages(kakao).select("page", F.to_json(F.struct(F.col("items").alias("jobList"))).alias("body")),
+    }
+    rows = sites.merged_listing(bodies, as_of())
+    return rows.select("source", "link", "title", F.col("seq.number").alias("page"), F.col("seq.item").cast("long").alias("item"))
+
+
+@check("a4_nested_cards", """
+    SELECT o_orderkey AS id, 0 AS at, '<a>' || o_orderkey || '</a><ul><li>x' || o_orderkey || '</li></ul><b>' || o_orderstatus || '</b>' AS card FROM orders
+    UNION ALL SELECT o_orderkey, 1, 'x' || o_orderkey FROM orders
+    UNION ALL SELECT o_orderkey, 2, 'last' FROM orders""")
+def nested_cards(fx: Fixtures):
+    """A card within a card: both are whole."""
+    html = F.concat(
+        F.lit("<ul><li class='c'><a>"), "o_orderkey", F.lit("</a><ul><li>x"), "o_orderkey", F.lit("</li></ul><b>"), "o_orderstatus", F.lit("</b></li><li>last</li></ul>"),
+    )
+    return fx.table("orders").select(F.col("o_orderkey").alias("id"), F.posexplode(text.elements_html(html, "li")).alias("at", "card"))

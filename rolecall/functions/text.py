@@ -185,14 +185,13 @@ def _opening(tag: str, css_class: str | None, element_id: str | None) -> str:
     return wanted + r"[^>]*>"
 
 
-def _inside(element: Column, tag: str) -> Column:
-    """The inner HTML of the `tag` element that the text starts with; what follows its end is cut.
+def _pieces(element: Column, tag: str) -> Column:
+    """What follows the opening of the `tag` element that the text starts with, cut before every opening or closing `tag`."""
+    return _split_before(F.regexp_replace(element, r"(?s)^<[^>]*>", ""), rf"(?i)</?{tag}\b")
 
-    The text is split before every opening or closing `tag`; one fold over the depth finds how many
-    pieces lie inside.
-    """
-    after_opening = F.regexp_replace(element, r"(?s)^<[^>]*>", "")
-    pieces = _split_before(after_opening, rf"(?i)</?{tag}\b")
+
+def _inside(pieces: Column, tag: str) -> Column:
+    """How many of the pieces lie inside the element: one fold over the depth; all of them if it is not closed."""
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("inside"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -204,8 +203,13 @@ def _inside(element: Column, tag: str) -> Column:
             (state["inside"] + F.when(depth > 0, 1).otherwise(0)).cast("int").alias("inside"),
         )
 
-    inside = F.aggregate(pieces, start, step)["inside"]
-    return F.array_join(F.slice(pieces, F.lit(1), inside), "")
+    return F.aggregate(pieces, start, step)["inside"]
+
+
+def _inner(element: Column, tag: str) -> Column:
+    """The inner HTML of the `tag` element that the text starts with; what follows its end is cut."""
+    pieces = _pieces(element, tag)
+    return F.array_join(F.slice(pieces, F.lit(1), _inside(pieces, tag)), "")
 
 
 def element_html(
@@ -214,7 +218,7 @@ def element_html(
     """Inner HTML of the first matching element, nested elements of the same tag included; else null."""
     parts = _split_before(without_silent(html) if clean else html, _opening(tag, css_class, element_id), 2)
     rest = F.replace(F.get(parts, F.lit(1)), F.lit(_MARK), F.lit(""))
-    return F.when(F.size(parts) == 2, _inside(rest, tag))
+    return F.when(F.size(parts) == 2, _inner(rest, tag))
 
 
 def element_text(html: Column, tag: str, css_class: str | None = None, element_id: str | None = None) -> Column:
@@ -223,10 +227,26 @@ def element_text(html: Column, tag: str, css_class: str | None = None, element_i
 
 
 def elements_html(html: Column, tag: str, css_class: str | None = None, clean: bool = True) -> Column:
-    """Inner HTML of every matching element, in page order (repeated cards, not nested in each other)."""
+    """Inner HTML of every matching element, in page order; one that is nested in another is in both.
+
+    The page is cut before every match. An element that is not closed in its own cut holds the next one, and is
+    read again over all that follows.
+    """
     parts = _split_before(without_silent(html) if clean else html, _opening(tag, css_class, None))
     cards = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.transform(cards, lambda card: _inside(card, tag))
+
+    def whole(card: Column, at: Column) -> Column:
+        pieces = _pieces(card, tag)
+        read = F.struct(pieces.alias("pieces"), _inside(pieces, tag).alias("inside"))
+        following = F.array_join(F.slice(cards, at + 1, F.size(cards)), "")
+        return F.transform(
+            F.array(read),
+            lambda r: F.when(
+                (r["inside"] == F.size(r["pieces"])) & (at + 1 < F.size(cards)), _inner(following, tag)
+            ).otherwise(F.array_join(F.slice(r["pieces"], F.lit(1), r["inside"]), "")),
+        )[0]
+
+    return F.transform(cards, whole)
 
 
 def attribute(fragment: Column, tag: str, name: str) -> Column:

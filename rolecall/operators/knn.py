@@ -30,7 +30,7 @@ from rolecall.session import materialise
 QUERY_BLOCK = 1024
 ITEM_BLOCK = 8192
 CELL_ROWS = 65536
-MAX_CELLS = 1024
+LEAST_CELLS = 8
 TIE_DIGITS = 9
 
 
@@ -52,10 +52,9 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     )
 
 
-def centroids_of(items: DataFrame, cells: int, seed: int = 7, train_rows: int = 1_000_000) -> np.ndarray:
-    """Unit centroids; a large table is sampled for training only, every row is still searched."""
-    n = items.count()
-    train = items if n <= train_rows else items.sample(train_rows / n, seed)
+def centroids_of(items: DataFrame, cells: int, seed: int = 7, train_rows: int | None = None) -> np.ndarray:
+    """Unit centroids, trained on all rows; `train_rows` trains on a sample of about so many. Every row is searched either way."""
+    train = items if train_rows is None else items.sample(min(1.0, train_rows / max(1, items.count())), seed)
     features = train.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, maxIter=10, seed=seed, distanceMeasure="cosine").fit(features)
     found = np.array(model.clusterCenters())
@@ -107,7 +106,7 @@ def _search(visits: DataFrame, items: DataFrame, query_id: str, item_id: str, k:
     query_blocks = F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks")
     item_blocks = F.ceil(F.count("*") / ITEM_BLOCK).alias("item_blocks")
     if "cell" in visits.columns:
-        # One row per cell, at most MAX_CELLS rows.
+        # One row per cell.
         blocks = F.broadcast(visits.groupBy("cell").agg(query_blocks).join(items.groupBy("cell").agg(item_blocks), "cell"))
 
         def sized(df: DataFrame) -> DataFrame:
@@ -165,15 +164,20 @@ def top_k(
     vector: str = "embedding",
     cells: int | None = None,
     probes: int | None = None,
+    train_rows: int | None = None,
 ) -> DataFrame:
-    """(query_id, item_id, similarity, rank): exact, or approximate when `probes` limits the cells searched."""
+    """(query_id, item_id, similarity, rank): exact, or approximate when `probes` limits the cells searched.
+
+    Without `cells` there is one for every CELL_ROWS items, and LEAST_CELLS at least where `probes` is to choose among them.
+    """
     asked, offered = usable(queries, query_id, vector), usable(items, item_id, vector)
     if cells is None:
-        cells = min(MAX_CELLS, math.ceil(max(1, items.count()) / CELL_ROWS))
+        n = max(1, offered.count())
+        cells = min(n, max(math.ceil(n / CELL_ROWS), 1 if probes is None else LEAST_CELLS))
     if cells <= 1:
         return keep_best(_search(asked, offered, query_id, item_id, k), query_id, item_id, k)
 
-    centroids = centroids_of(offered, cells)
+    centroids = centroids_of(offered, cells, train_rows=train_rows)
     placed = materialise(_into_cells(offered, centroids))  # read several times below
     first = _nearest_cells(asked, centroids, min(probes or 2, len(centroids)))
     found = keep_best(_search(first, placed, query_id, item_id, k), query_id, item_id, k)

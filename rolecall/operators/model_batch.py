@@ -21,10 +21,12 @@ def call_model(
     output: T.StructField,
     tries: int = fixed.MODEL_TRIES,
     wait_seconds: float = fixed.MODEL_WAIT_SECONDS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add `output` = call(value of `input_col`) and `error` (null when the call worked).
 
     A row whose call fails `tries` times keeps a null output and the last error; other rows go on.
+    `partitions` is how many calls may run at once; small inputs would else be put into few tasks.
     """
 
     def one(value):
@@ -47,7 +49,7 @@ def call_model(
             )
 
     schema = T.StructType([*df.schema.fields, output, T.StructField("error", T.StringType())])
-    return df.mapInPandas(run, schema)
+    return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)
 
 
 def split_good_failed(answers: DataFrame) -> tuple[DataFrame, DataFrame]:

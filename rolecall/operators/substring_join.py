@@ -1,23 +1,22 @@
 """Join texts with the patterns they contain, exactly, without comparing all pairs.
 
-A pattern list of checked size goes to every task as a multi-pattern automaton, which reads each text
-once however many patterns there are. A longer list goes through an equi-join: every pattern is
-represented by a few fixed-width character grams, and texts by their grams at regular positions. Gram
-width w and stride s depend on the pattern's length class so that w + s - 1 <= length: wherever the
-pattern occurs, one of the text's sampled positions falls into its first s characters, so the pair is
-always found. Candidates are then verified on the whole text.
+An equi-join on character grams: every pattern is represented by a few fixed-width grams, and texts by
+their grams at regular positions. Gram width w and stride s depend on the pattern's length class so that
+w + s - 1 <= length: wherever the pattern occurs, one of the text's sampled positions falls into its
+first s characters, so the pair is always found. Candidates are then verified on the whole text.
+
+The grams of the patterns are written first, so Spark knows their size: few go to the texts, many meet
+them by gram. Candidates are few beside the texts, which are read once more to verify them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_LISTED_CHARACTERS = 4_000_000
+from rolecall.session import stored
+
+CHUNK = 256
 
 
 def _class_shape(length_class: int) -> tuple[int, int]:
@@ -42,60 +41,29 @@ def _pattern_grams(pattern: str, cls: int) -> Column:
 
 
 def _text_grams(text: str, cls: int) -> Column:
-    """The grams at every stride-th position, in one linear pass: look ahead for a gram, then step on."""
-    width, stride = _class_shape(cls)
-    sampled = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}})).{{{stride}}}"), F.lit(1))
-    return F.transform(sampled, lambda gram: F.xxhash64(F.lit(cls), gram))
-
-
-def listed_size(patterns: DataFrame, pattern: str) -> int:
-    return patterns.agg(F.coalesce(F.sum(F.length(pattern) + 1), F.lit(0))).first()[0]
-
-
-def _automaton_join(texts: DataFrame, patterns: list[str], text_id: str, text: str, pattern: str) -> DataFrame:
-    """One pass over each text with an automaton of all patterns, built once per task."""
-    schema = T.StructType([texts.select(text_id).schema[0], T.StructField(pattern, T.StringType())])
+    """The grams at every stride-th position, taken from chunks of the text, so that finding a position is cheap.
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in patterns:
-            if word:
-                automaton.add_word(word, word)
-        automaton.make_automaton()
-        always = [""] if "" in patterns else []
-        for batch in batches:
-            hits = [{*always, *(word for _, word in automaton.iter(t))} for t in batch[text]] if len(automaton) else [always] * len(batch)
-            found = pd.DataFrame({text_id: batch[text_id], pattern: [list(h) for h in hits]})
-            yield found.explode(pattern).dropna(subset=[pattern])
-
-    return texts.select(text_id, text).where(F.col(text).isNotNull()).mapInPandas(find, schema)
+    A chunk is read with as much of the next ones as its last gram needs.
+    """
+    width, stride = _class_shape(cls)
+    chunk = max(CHUNK, stride, width)  # a multiple of the stride, both being powers of two, or one gram long
+    chunk += -chunk % stride
+    chunks = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{chunk}}}"), F.lit(0))
 
+    def grams(part: Column, at: Column) -> Column:
+        following = F.substring(F.coalesce(F.get(chunks, at + 1), F.lit("")), 1, width - 1)
+        whole = F.array(F.concat(part, following))
+        places = F.sequence(F.lit(1), F.length(part), F.lit(stride))
+        found = F.transform(whole, lambda block: F.transform(places, lambda k: F.xxhash64(F.lit(cls), F.substring(block, k, F.lit(width)))))
+        return found[0]
 
-def _has_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
+    return F.flatten(F.transform(chunks, grams))
 
 
-def substring_join(
-    texts: DataFrame,
-    patterns: DataFrame,
-    text_id: str,
-    text: str,
-    pattern: str,
-    max_listed: int = MAX_LISTED_CHARACTERS,
-) -> DataFrame:
+def substring_join(texts: DataFrame, patterns: DataFrame, text_id: str, text: str, pattern: str) -> DataFrame:
     """(text_id, pattern) for every distinct pattern contained in a text; empty patterns match all."""
-    distinct = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct()
-    if _has_automaton() and listed_size(distinct, pattern) <= max_listed:
-        words = [row[0] for row in distinct.collect()]  # size checked above
-        return _automaton_join(texts, words, text_id, text, pattern)
-
     length = F.length(pattern)
+    distinct = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct()
     classed = distinct.withColumn("cls", F.when(length > 0, _class_of(length)).otherwise(-1))
     classes = sorted(row.cls for row in classed.select("cls").distinct().collect())  # at most 32 rows
     blank, classes = -1 in classes, [c for c in classes if c >= 0]
@@ -104,12 +72,10 @@ def substring_join(
     if not classes:
         return in_all
 
-    # Both sides are read once; a gram's hash includes its class.
+    # A gram's hash includes its class.
     full = classed.where("cls >= 0")
-    pattern_grams = full.select(pattern, F.explode(F.coalesce(*[_pattern_grams(pattern, c) for c in classes])).alias("gram"))
-    text_grams = texts.select(
-        text_id, F.explode(F.array_distinct(F.concat(*[_text_grams(text, c) for c in classes]))).alias("gram")
-    )
+    pattern_grams = stored(full.select(pattern, F.explode(F.coalesce(*[_pattern_grams(pattern, c) for c in classes])).alias("gram")), "grams")
+    text_grams = texts.select(text_id, F.explode(F.concat(*[_text_grams(text, c) for c in classes])).alias("gram"))
     candidates = text_grams.join(pattern_grams, "gram").select(text_id, pattern).distinct()
     verified = candidates.join(whole, text_id).where(F.contains(text, F.col(pattern))).select(text_id, pattern)
     return verified.unionByName(in_all) if blank else verified

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rolecall import fixed_values as fixed
 from rolecall.operators.merge import insert_ignore
-from rolecall.operators.sizes import if_small
 
 
 def _rule_table(rules) -> Column:
@@ -54,7 +53,7 @@ def postings_with_company(job_info: DataFrame, companies: DataFrame) -> DataFram
 def tag_ids_by_name(assigned: DataFrame, tags: DataFrame) -> DataFrame:
     """(job_id, tag) -> (job_id, tag_id); names without a row in `tags` are ignored."""
     ids = tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
-    return assigned.join(if_small(ids), "tag").select("job_id", "tag_id")
+    return assigned.join(ids, "tag").select("job_id", "tag_id")
 
 
 def fill_job_tags(job_info: DataFrame, companies: DataFrame, tags: DataFrame, job_tags: DataFrame) -> DataFrame:

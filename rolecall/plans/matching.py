@@ -11,7 +11,6 @@ from rolecall.functions.text import summary_lines
 from rolecall.operators.answers import parse_rerank
 from rolecall.operators.knn import TIE_DIGITS, top_k
 from rolecall.operators.sentences import mean_vectors
-from rolecall.operators.sizes import if_small
 from rolecall.operators.substring_join import substring_join
 from rolecall.plans.listing import hydrate
 
@@ -32,15 +31,15 @@ def variant_arrays(companies: DataFrame, alternates: DataFrame) -> DataFrame:
     )
 
 
-def named_experiences(resumes: DataFrame, companies: DataFrame, alternates: DataFrame, **options) -> DataFrame:
+def named_experiences(resumes: DataFrame, companies: DataFrame, alternates: DataFrame) -> DataFrame:
     """(resume_id, company_id) for companies named in a resume.
 
     Resume texts arrive lower-cased and names are compared as written, so a name with a capital never
     matches.
     """
     variants = name_variants(companies, alternates).select("company_id", "name_variant")
-    hits = substring_join(resumes, variants, "resume_id", "resume_text", "name_variant", **options)
-    return hits.join(if_small(variants), "name_variant").select("resume_id", "company_id").distinct()
+    hits = substring_join(resumes, variants, "resume_id", "resume_text", "name_variant")
+    return hits.join(variants, "name_variant").select("resume_id", "company_id").distinct()
 
 
 def valid_summaries(resumes: DataFrame) -> DataFrame:
@@ -97,3 +96,17 @@ def apply_rerank(matches: DataFrame, answers: DataFrame) -> DataFrame:
     """
     ranked = parse_rerank(answers).withColumnRenamed("job_idx", "job_number")
     return matches.join(ranked, ["resume_id", "job_number"])
+
+
+def match_resumes(
+    resumes: DataFrame, line_vectors: DataFrame, store, exclude_employers: bool = True, k: int = fixed.RETRIEVAL_COUNT, **search_options
+) -> DataFrame:
+    """From resumes (resume_id, resume_text, summary) and their line vectors to their matches.
+
+    Only resumes whose summary has lines are matched, by the mean of their line vectors, without postings of
+    companies that their text names.
+    """
+    valid = valid_summaries(resumes).select("resume_id")
+    vectors = resume_means(line_vectors.join(valid, "resume_id", "left_semi"))
+    named = named_experiences(resumes.join(valid, "resume_id", "left_semi"), store.companies, store.company_alternate_names)
+    return match_jobs(vectors, store, named, exclude_employers, k, **search_options)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +29,7 @@ def get_spark(app_name: str = "rolecall", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only a local session that names none gets a temporary folder of its own.
+    A local session that names none uses a folder below its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rolecall-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch")
     return context.getCheckpointDir()
 
 
@@ -58,3 +57,10 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` below the shared folder and read it from there: computed once, and of a size that Spark knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall import fixed_values as fixed
 from rolecall.functions import predicates, text
@@ -182,13 +183,24 @@ def listing(source: str, pages: DataFrame, as_of: Column) -> DataFrame:
     return items.select("page", F.struct("state", "at").alias("at"), *_devsisters(item, as_of))
 
 
+def place(source: int, rows: DataFrame) -> Column:
+    """Where a row stands among all listed: source, page (by its number, then its name), state, item."""
+    page = F.col("page").cast("string")
+    number = F.regexp_extract(page, r"(\d+)\D*$", 1).try_cast("long")
+    nested = isinstance(rows.schema["at"].dataType, T.StructType)
+    state, item = (F.col("at.state"), F.col("at.at")) if nested else (F.lit(0), F.col("at"))
+    return F.struct(
+        F.lit(source).alias("source"), number.alias("number"), page.alias("page"), state.cast("int").alias("state"), item.cast("int").alias("item")
+    )
+
+
 def merged_listing(pages_by_source: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """Rows of all sources, one per link; a link listed again keeps its place and takes the later row."""
     parts = []
-    for source, pages in pages_by_source.items():
+    for number, (source, pages) in enumerate(pages_by_source.items()):
         rows = listing(source, pages, as_of)
-        order = F.struct("page", F.col("at").cast("string").alias("at"))
-        parts.append(rows.select(F.lit(source).alias("source"), *[c for c in rows.columns if c not in ("page", "at")], order.alias("seq")))
+        kept = [c for c in rows.columns if c not in ("page", "at")]
+        parts.append(rows.select(F.lit(source).alias("source"), *kept, place(number, rows).alias("seq")))
     return last_wins(union_all(*parts), "link", "seq")
 
 

@@ -93,10 +93,11 @@ def test_bucketed_store_serves_without_shuffles_by_posting(spark, fx, tmp_path):
 
 
 def test_active_postings_have_their_own_partition(spark, fx, tmp_path):
-    from rolecall.sources.tables import PARTITION_BY, write_table
+    from rolecall.sources.tables import PARTITION_BY, version_name, write_table
 
     assert PARTITION_BY["job_info"] == ["is_active"]
-    _, stored = write_table(spark, fx.job_info, str(tmp_path), "job_info", "v1")
+    write_table(fx.job_info, str(tmp_path), "job_info", version_name(1), 4)
+    stored = spark.read.parquet(str(tmp_path / "job_info" / f"version={version_name(1)}"))
     text = plan(listing.active(stored).select("id"))
     assert re.search(r"PartitionFilters: \[[^\]]*is_active", text)
     assert stored.count() == fx.job_info.count() and stored.where("is_active").count() == listing.active(fx.job_info).count()

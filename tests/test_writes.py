@@ -9,8 +9,8 @@ from rolecall.operators import answers, constraints, dedupe, merge
 from rolecall.operators.tagging import assign_tags
 from rolecall.plans import ingest
 from rolecall.plans.store import empty_store
-from rolecall.sources.tables import latest_version, read_store, table_paths, version_name, write_store
-from rolecall.streaming.incremental import LANDED, ingest_available
+from rolecall.sources.tables import latest_version, next_store, publish, read_store, table_paths, version_name, write_store
+from rolecall.streaming.incremental import LANDED, ingest_available, merge_batch, rejected_rows
 
 NOW = dt.datetime(2024, 5, 2, 8, 0)
 
@@ -27,8 +27,8 @@ def jobs_by_link(store):
     return {r.link: r for r in store.job_info.collect()}
 
 
-def frozen(spark, store, path, version="v1"):
-    write_store(spark, store, str(path), version)
+def frozen(spark, store, path, version=version_name(1)):
+    write_store(spark, store, str(path), version, buckets=4)
     return read_store(spark, str(path), version)
 
 
@@ -82,7 +82,7 @@ def test_stream_in_any_number_of_batches_equals_one_batch(spark, tmp_path, files
     rows = [posting(i, f"l{i % 7}", title=f"t{i}", company=f"C{i % 3}", affiliate=f"A{i % 4}") for i in range(12)]
     landing, root = tmp_path / "landing", str(tmp_path / "store")
     landing.mkdir()
-    write_store(spark, empty_store(spark), root, version_name(0))
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=4)
     import json
     import os
 
@@ -101,7 +101,83 @@ def test_stream_in_any_number_of_batches_equals_one_batch(spark, tmp_path, files
     assert lines(streamed) == lines(whole)
     # A second run finds nothing new, and unchanged tables were never copied.
     assert show(ingest_available(spark, str(landing), root, str(tmp_path / "progress"), F.lit(NOW))) == show(whole)
-    assert table_paths(spark, root, latest_version(spark, root))["tags"].endswith(version_name(0))
+    assert table_paths(spark, root, latest_version(spark, root))["tags"] == {0: f"{root}/tags/version={version_name(0)}"}
+
+
+def landed(folder, name, *rows):
+    import json
+
+    folder.mkdir(exist_ok=True)
+    names = [f.name for f in LANDED.fields]
+    (folder / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(names, r)), default=str) for r in rows))
+
+
+def test_a_new_progress_folder_goes_on_from_the_latest_version(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "store")
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=4)
+    landed(landing, "a", posting(1, "x"))
+    ingest_available(spark, str(landing), root, str(tmp_path / "p1"), F.lit(NOW))
+    landed(landing, "b", posting(2, "y"))
+    ingest_available(spark, str(landing), root, str(tmp_path / "p1"), F.lit(NOW))
+    landed(landing, "c", posting(3, "z"))
+    store = ingest_available(spark, str(landing), root, str(tmp_path / "p2"), F.lit(NOW))
+    assert set(jobs_by_link(store)) == {"x", "y", "z"} and latest_version(spark, root) == version_name(3)
+
+
+def test_what_others_publish_between_two_batches_stays(spark, tmp_path):
+    landing, root, progress = tmp_path / "landing", str(tmp_path / "store"), str(tmp_path / "progress")
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=4)
+    landed(landing, "a", posting(1, "x", title="backend"), posting(2, "y", title="backend"))
+    store = ingest_available(spark, str(landing), root, progress, F.lit(NOW))
+    later = ingest.tag_and_deactivate(store, F.lit(NOW + dt.timedelta(days=3)))
+    next_store(spark, root, {name: later.tables()[name] for name in ("tags", "job_tags", "job_info")})
+    landed(landing, "b", posting(3, "z"))
+    store = ingest_available(spark, str(landing), root, progress, F.lit(NOW))
+    assert {r.link: r.is_active for r in store.job_info.collect()} == {"x": False, "y": False, "z": True}
+    assert store.tags.count() == len(fixed.TAG_NAMES) and store.job_tags.count() > 0
+    assert latest_version(spark, root) == version_name(3)
+
+
+def test_a_batch_that_comes_again_is_left_alone_and_untouched_buckets_keep_their_path(spark, tmp_path):
+    root = str(tmp_path / "store")
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=8)
+    merge_batch(staged(spark, *[posting(i, f"l{i}") for i in range(40)]), root, F.lit(NOW), "s", 0)
+    before = table_paths(spark, root, version_name(1))
+    one = staged(spark, posting(50, "l7", title="New"))
+    merge_batch(one, root, F.lit(NOW), "s", 1)
+    merge_batch(one, root, F.lit(NOW), "s", 1)
+    assert latest_version(spark, root) == version_name(2)
+    after = table_paths(spark, root, version_name(2))
+    for name in ("job_info", "sentences"):
+        assert len(before[name]) > 4 and sum(before[name][b] != after[name][b] for b in before[name]) == 1, name
+    store = read_store(spark, root)
+    assert store.job_info.count() == 40 and jobs_by_link(store)["l7"].job_title == "New"
+    assert constraints.violations(store).isEmpty()
+    merge_batch(one, root, F.lit(NOW), "other stream", 1)
+    assert latest_version(spark, root) == version_name(3)
+
+
+def test_a_version_entered_twice_has_one_entry_and_two_places_are_an_error(spark, tmp_path):
+    root = str(tmp_path)
+    for path in ("a", "b"):
+        publish(spark, root, version_name(4), {"tags": {0: path}}, 4)
+    assert table_paths(spark, root, version_name(4)) == {"tags": {0: "b"}}
+    spark.createDataFrame([("tags", 0, "c", 4, None, None)], "table_name string, bucket int, path string, buckets int, stream string, batch long").write.mode("append").parquet(f"{root}/versions/version={version_name(4)}")
+    with pytest.raises(ValueError, match="two places"):
+        table_paths(spark, root, version_name(4))
+
+
+def test_bad_rows_fail_alone(spark, tmp_path):
+    rows = [posting(1, "x", company=None), posting(2, "y"), posting(3, None), posting(4, "z", affiliate=None), posting(5, "w", day=None)]
+    root = str(tmp_path / "store")
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=4)
+    merge_batch(staged(spark, *rows), root, F.lit(NOW), "s", 0)
+    store = read_store(spark, root)
+    assert set(jobs_by_link(store)) == {"y"} and constraints.violations(store).isEmpty()
+    assert {r.job_id for r in store.sentences.collect()} == {jobs_by_link(store)["y"].id}
+    assert {(r.seq, r.reason) for r in rejected_rows(spark, root).collect()} == {
+        (1, "no company_name"), (3, "no link"), (4, "no affiliate_company_name"), (5, "no uploaded_date"),
+    }
 
 
 def test_ids_are_dense_and_above_the_existing_ones(spark):
@@ -171,3 +247,86 @@ def test_rerank_indexes_that_fit_nothing_are_dropped(spark):
     answer = '{"results":[{"job_idx":"1","job_title":"B","reason":"r"},{"job_idx":-1,"reason":"x"},{"job_idx":5},{"job_idx":"x"},{"job_idx":0}]}'
     rows = apply_rerank(matches, spark.createDataFrame([(1, answer)], "resume_id int, answer string")).orderBy("rank").collect()
     assert [(r.id, r.rank_title, r.reason) for r in rows] == [("b", "B", "r"), ("a", None, None)]
+
+
+def pages_of_all_sources(spark):
+    """One posting of each source, as its listing and detail pages show it, and one more without a usable answer."""
+    import json
+
+    wrap = lambda items: f'<html><script id="__NEXT_DATA__" type="application/json">{json.dumps({"props": {"pageProps": {"dehydratedState": {"queries": [{"state": {"data": items}}]}}}})}</script></html>'
+    listings = {
+        "naver": json.dumps({"list": [{"annoId": "1", "annoSubject": "[NAVER Cloud] Backend", "staYmdTime": "2024.04.01 00:00"}]}),
+        "baemin": json.dumps({"data": {"list": [{"recruitNumber": "R1", "recruitName": "[Tech] Server", "recruitOpenDate": "2024-04-02 09:00"}]}}),
+        "kakao": json.dumps({"jobList": [{"realId": "P-1", "jobOfferTitle": "Data", "introduction": "i", "workContentDesc": "w", "qualification": "q", "jobOfferProcessDesc": "p", "uptDate": "2024-04-03T00:00"}, {"realId": "P-2", "jobOfferTitle": "Lost"}]}),
+        "flipster": json.dumps({"jobs": [{"id": "f1", "title": "Infra", "team": {"value": "engineering"}, "location": {"value": "south-korea"}}]}),
+        "hpcnt": json.dumps({"data": {"allLever": {"nodes": [{"lever_id": "h1", "text": "Android Engineer"}]}}}),
+        "devsisters": wrap([{"openingId": "d1", "title": "Client", "openingJobPosition": {"openingJobPositionSetting": {"createdAt": "2024-04-04T01:00:00"}}}]),
+        "hyperithm": wrap([{"openingId": "y1", "title": "Quant Developer", "openingJobPosition": {}}]),
+        "line": '<ul class="job_list"><li><a href="/jobs/1"><h3 class="title">Server Engineer</h3><span class="date">2024-04-05 ~</span><div class="text_filter">Engineering</div></a></li></ul>',
+        "coupang": '<div class="card card-job"><h2 class="card-title"><a href="/jobs/c1">[Coupang Pay] Staff Engineer</a></h2></div>',
+        "daangn": '<ul class="c-jpGEAj"><li class="c-deAcZv"><a href="/jobs/g1/"><h3 class="c-boyXyq">Software Engineer</h3></a></li></ul>',
+    }
+    details = {
+        "baemin": ("https://career.woowahan.com/w1/recruits/R1", json.dumps({"data": {"recruitContents": "<p>baemin text"}})),
+        "coupang": ("https://www.coupang.jobs/jobs/c1", '<article class="cms-content">coupang text</article><div class="job-table"><time datetime="2024-04-06">x</time></div>'),
+        "daangn": ("https://about.daangn.com/jobs/g1/", '<script type="application/ld+json">{"datePosted":"2024-04-07"}</script><article class="c-kJtTwH">daangn text</article>'),
+    }
+    frame = lambda key, value, column: spark.createDataFrame([(key, value)], f"{column} string, body string")
+    return {n: frame("p1", body, "page") for n, body in listings.items()}, {n: frame(*row, "link") for n, row in details.items()}
+
+
+ANSWER = '{"team_info":"t","responsibilities":["do"],"qualifications":["need"],"preferred_qualifications":["like"],"hiring_process":["h"],"additional_info":["a"]}'
+
+
+def staged_of_all(spark):
+    from rolecall.plans import staging
+    from rolecall.sources import sites
+
+    listings, details = pages_of_all_sources(spark)
+    as_of = F.lit("2024-05-02").cast("date")
+    links = [r.link for r in sites.merged_listing(listings, as_of).select("link").collect()]
+    answers = spark.createDataFrame([(n, ANSWER if not n.endswith("P-2") else ANSWER[:-3]) for n in links], "link string, answer string")
+    return staging.stage(listings, details, answers, as_of), staging.with_details(sites.merged_listing(listings, as_of), staging.all_details(details, as_of), as_of)
+
+
+def test_all_ten_sources_are_staged(spark):
+    staged_rows, detailed = staged_of_all(spark)
+    rows = {r.company_name: r for r in staged_rows.collect()}
+    assert staged_rows.columns == [f.name for f in LANDED.fields] and set(rows) == {name for name, _ in fixed.SOURCES.values()}
+    days = {n: str(rows[fixed.SOURCES[n][0]].uploaded_date) for n in fixed.SOURCES}
+    assert days == {
+        "naver": "2024-04-01", "baemin": "2024-04-02", "kakao": "2024-04-03", "devsisters": "2024-04-04", "line": "2024-04-05", "coupang": "2024-04-06",
+        "daangn": "2024-04-07", "flipster": "2024-05-02", "hpcnt": "2024-05-02", "hyperithm": "2024-05-02",
+    }
+    assert all(tuple(rows[name].alternate_names) == names for name, names in fixed.SOURCES.values())
+    assert rows["우아한형제들"].link == "https://career.woowahan.com/recruitment/R1/detail" and rows["네이버"].affiliate_company_name == "네이버클라우드"
+    assert len({r.seq for r in rows.values()}) == 10
+    texts = {r.source: r.detail for r in detailed.where("link NOT LIKE '%P-2'").collect()}
+    assert (texts["baemin"], texts["coupang"], texts["daangn"], texts["naver"], texts["flipster"]) == ("<p>baemin text", "coupang text", "daangn text", fixed.NO_DETAIL, None)
+
+
+def test_the_whole_run_and_again(spark, tmp_path):
+    from rolecall.plans.batch import run_batch
+
+    root = str(tmp_path / "store")
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=4)
+    rows, _ = staged_of_all(spark)
+    rows = rows.cache()
+
+    def call(texts):
+        if any("Quant" in t for t in texts):
+            raise RuntimeError("no")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    options = {"wait_seconds": 0.0, "tries": 1}
+    store, failed = run_batch(spark, root, rows, F.lit(NOW), call, **options)
+    assert store.job_info.count() == 10 and store.job_embeddings.count() == 9 and failed.count() == 1
+    assert store.sentences.where("embedding IS NOT NULL").count() == 27 and store.job_tags.count() > 0 and store.tags.count() == len(fixed.TAG_NAMES)
+    broken = constraints.violations(store, width=2)
+    assert broken.isEmpty(), broken.collect()
+    later = NOW + dt.timedelta(days=4)
+    again, _ = run_batch(spark, root, rows.where("company_name <> '쿠팡'"), F.lit(later), call, **options)
+    kinds = {r.link: r.is_active for r in again.job_info.collect()}
+    assert len(kinds) == 10 and [n for n, active in kinds.items() if not active] == ["https://www.coupang.jobs/jobs/c1"]
+    third, _ = run_batch(spark, root, rows.where("company_name <> '쿠팡'"), F.lit(later), call, **options)
+    assert third.job_embeddings.where("embedding IS NOT NULL").count() == 8 and latest_version(spark, root) == version_name(12)
