@@ -67,35 +67,34 @@ def size_class(size: Column) -> Column:
     return (2 * F.length(F.bin(size)) + F.when(F.substring(F.bin(size), 2, 1) == "1", 1).otherwise(0)).cast("int")
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """docs, all columns, with `_mix`: struct(size, source_size, target, copies). Sizes that stand in `_size` are taken from there."""
-    sized = docs if "_size" in docs.columns else docs.withColumn("_size", words("text"))
+def copies(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """(row, size, source_size, target, copies) for each of (row, doc_id, source, size); `row` is carried along whatever it is."""
     # written, so that its size is known before documents are dealt out: a row per source
-    sources = stored(targets(sized.select("source", F.col("_size").alias("size")), weights, budget, most).withColumnRenamed("source", "_source"), "sources")
-    placed = sized.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    sources = stored(targets(rows.select("source", "size"), weights, budget, most).withColumnRenamed("source", "of"), "sources")
+    placed = rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     blocks_of = F.ceil(F.col("n_docs") / F.lit(float(BLOCK_ROWS)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    placed = placed.withColumns({"_class": size_class(F.col("_size")), "_block": F.floor(fraction(F.lit("d:"), name) * blocks_of).cast("long")})
-    block = ["_source", "_class", "_block"]
+    placed = placed.withColumns({"class": size_class(F.col("size")), "block": F.floor(fraction(F.lit("d:"), name) * blocks_of).cast("long")})
+    block = ["source", "class", "block"]
     counts = placed.groupBy(*block).agg(F.count("*").alias("n"))
-    in_line = Window.partitionBy("_source").orderBy("_class", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-    counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(in_line), F.lit(0))).select(*[F.col(c).alias(f"{c}_of") for c in block], "_before")
-    same = F.col("_source").eqNullSafe(F.col("_source_of")) & (F.col("_class") == F.col("_class_of")) & (F.col("_block") == F.col("_block_of"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(*block).orderBy("_size", "doc_id"))).join(counts, same)
-    place = F.col("_before") + F.col("_rank")
+    in_line = Window.partitionBy("source").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(in_line), F.lit(0))).select(*[F.col(c).alias(f"{c}_of") for c in block], "before")
+    same = F.col("source").eqNullSafe(F.col("source_of")) & (F.col("class") == F.col("class_of")) & (F.col("block") == F.col("block_of"))
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*block).orderBy("size", "doc_id"))).join(counts, same)
+    place = F.col("before") + F.col("rank")
     line = lambda n: F.floor(n * F.col("rate") + F.col("shift"))
     made = F.greatest(F.lit(0), F.least(line(place) - line(place - 1), F.lit(most))).cast("long")
-    return ranked.select(*docs.columns, F.struct(F.col("_size").alias("size"), "source_size", "target", made.alias("copies")).alias("_mix"))
+    return ranked.select("row", "doc_id", "size", "source_size", "target", made.alias("copies"))
 
 
 def shares(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row, without moving texts."""
-    sized = stored(docs.select("doc_id", "source", words("text").alias("_size")), "sizes")
-    mixed = copies(sized).select("doc_id", "_mix.*")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = stored(docs.select(F.lit(0).alias("row"), "doc_id", "source", words("text").alias("size")), "sizes")
+    return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it."""
-    mixed = copies(docs)
-    return mixed.where("_mix.copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", words("text").alias("size"))
+    taken = copies(rows).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("row.*")
