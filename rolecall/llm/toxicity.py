@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import held_out, labelled_sample
+from rolecall.llm.common import held_out, labelled_sample, stored
 
 WIDTH, GRAMS = 8, (3, 4, 5)  # of an embedding; of n-grams. Buckets are 32-bit hashes
 #: Labelled rows of a class that are learnt from, at most.
@@ -84,24 +84,26 @@ class Adam:
         self.value[at] -= self.rate * (self.m[at] / (1 - 0.9**self.t)) / (np.sqrt(self.v[at] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def vocabulary(bags: Bags, label: np.ndarray, telling: float = TELLING) -> np.ndarray:
-    """The buckets that are in more of the texts of label 1 than of the others, by `telling` standard errors; ascending."""
-    n1, n0 = label.sum(), len(label) - label.sum()
-    bucket, at = np.unique(bags.at, return_inverse=True)
-    in1, in0 = (np.bincount(at[label[bags.row] == k], minlength=len(bucket)) for k in (1, 0))
-    p = (in1 + in0) / len(label)
-    return bucket[(in1 / n1 - in0 / n0) > telling * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) + 1e-12]
-
-
-def train(bags: Bags, label: np.ndarray, weight: np.ndarray) -> tuple[dict[int, float], float]:
-    """(logit of label 1 of each bucket of the vocabulary, intercept)."""
-    if len(set(label.tolist())) < 2:
-        return {}, 50.0 if len(label) and label[0] else -50.0
-    known = vocabulary(bags, label)
-    held = np.isin(bags.at, known)
-    row, times = bags.row[held], bags.weight[held, 0]
-    total = np.bincount(row, times, minlength=bags.n)
-    bags = Bags(np.searchsorted(known, bags.at[held]), times / total[row], np.bincount(row, minlength=bags.n))
+def vocabulary(sample: DataFrame, n1: int, n0: int, telling: float = TELLING) -> list[int]:
+    """The buckets that are in more of the texts of label 1 than of the others, by `telling` standard errors; ascending.
+
+    Counted on the executors; only these buckets come to the driver.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("label").cast(pa.int32())):
+                found = bag(text.as_py())[0]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), label.as_py(), np.int32))], names=["bucket", "label"])
+
+    held = sample.select("text", "label").mapInArrow(run, "bucket long, label int").groupBy("bucket").agg(F.sum("label").alias("in1"), F.count("*").alias("n"))
+    p = F.col("n") / (n1 + n0)
+    apart = F.col("in1") / n1 - (F.col("n") - F.col("in1")) / n0
+    return sorted(r.bucket for r in held.where(apart > telling * F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) + 1e-12).select("bucket").collect())
+
+
+def train(bags: Bags, label: np.ndarray, weight: np.ndarray, known: list[int]) -> tuple[dict[int, float], float]:
+    """(logit of label 1 of each bucket of the vocabulary, intercept); the bags hold places in the vocabulary."""
     rng = np.random.default_rng(1)
     table = Adam(rng.normal(0, 0.1, (len(known), WIDTH)).astype(np.float32), RATE)
     soft, intercept = Adam(rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), RATE), Adam(np.zeros(2, np.float32), RATE)
@@ -116,12 +118,11 @@ def train(bags: Bags, label: np.ndarray, weight: np.ndarray) -> tuple[dict[int,
         soft.step(hidden.T @ error)
         intercept.step(error.sum(axis=0))
     raw = table.value @ (soft.value[:, 1] - soft.value[:, 0])
-    return dict(zip(known.tolist(), raw.tolist())), float(intercept.value[1] - intercept.value[0])
+    return dict(zip(known, raw.tolist())), float(intercept.value[1] - intercept.value[0])
 
 
-def bags_of(sample: DataFrame, make=None):
-    """(Bags, label, weight) of a bounded sample; texts become bags on the executors."""
-    make = make or bag
+def bags_of(sample: DataFrame, make):
+    """(Bags, label, weight) of a bounded sample; `make` turns texts into bags on the executors."""
 
     def run(batches):
         for batch in batches:
@@ -140,7 +141,19 @@ def bags_of(sample: DataFrame, make=None):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[dict[int, float], float]:
     """Learn from at most 2 * `per_class` labelled documents outside the held-out fifth."""
-    return train(*bags_of(labelled_sample(docs, labels, label, per_class, [0, 1])))
+    sample = stored(labelled_sample(docs, labels, label, per_class, [0, 1]), "sample")
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return {}, 50.0 if n.get(1) else -50.0
+    known = vocabulary(sample, n[1], n[0])
+
+    def known_bag(text: str):
+        """(places in the vocabulary, share of each) of a text."""
+        found, times = bag(text)
+        held = np.isin(found, known)
+        return np.searchsorted(known, found[held]), times[held] / max(1.0, times[held].sum())
+
+    return train(*bags_of(sample, known_bag), known)
 
 
 def score(text: str, model: tuple[dict[int, float], float]) -> Column:
