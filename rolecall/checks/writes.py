@@ -374,7 +374,9 @@ def bad_rows(fx: Fixtures):
         "company_name": F.when(kind != 1, F.col("company_name")), "affiliate_company_name": F.when(kind != 2, F.col("affiliate_company_name")),
         "link": F.when(kind != 3, F.col("link")),
     })
-    store = ingest.apply_batch(empty_store(fx.spark), damaged.drop("id"), now().cast("timestamp"))
+    root = scratch_path(fx.spark, "bad-rows")
+    write_store(fx.spark, ingest.apply_batch(empty_store(fx.spark), damaged.drop("id"), now().cast("timestamp")), root, version_name(1), buckets=8)
+    store = read_store(fx.spark, root)
     broken = constraints.violations(store, only_broken=False).agg(F.sum("violations").alias("n"))
     return ingested(store).withColumn("violations", broken.scalar())
 
