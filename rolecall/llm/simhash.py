@@ -18,7 +18,7 @@ all are null; an empty table gives no rows; other columns are ignored.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.llm.common import stored
@@ -58,6 +58,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
 
 
+def bits_of(text: str) -> Column:
+    """The fingerprint of a text column as a signed long."""
+
+    @F.arrow_udf("long")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint_of(t or b"") for t in column.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
+
+    return run(F.col(text))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of each code in Gray order."""
     x = x.copy()
@@ -224,8 +234,8 @@ def one_of_each(docs: DataFrame, limit: int = 3) -> DataFrame:
     groups = near_duplicates(docs, limit)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    nameless = docs.where(F.col("doc_id").isNull())
-    lone = groups.where("component_id IS NULL").select(F.col("bits")).distinct()
+    lone = groups.where("component_id IS NULL").select("bits").distinct()
     if lone.isEmpty():
         return named
-    return named.union(nameless)
+    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("row"), bits_of("text").alias("bits"))
+    return named.union(nameless.join(lone, "bits", "left_semi").select("row.*"))

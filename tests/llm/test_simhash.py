@@ -103,3 +103,5 @@ def test_odd_rows(odd_docs, docs_of):
     # the kept id twice, and a nameless copy of a named document
     again = docs_of([(3, "a b c d"), (3, "a b c d"), (4, "a b c d"), (None, "a b c d")])
     assert [r.doc_id for r in simhash.one_of_each(again).collect()] == [3, 3]
+    mixed = docs_of([(1, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w")])
+    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(mixed).collect()) == [("1", "a b c d"), ("None", "x y z w"), ("None", "x y z w")]
