@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from rolecall.llm.tokens import encoder
 
 CAPACITY, MAX_SEGMENTS, MAX_LOSS = 1024, 64, 1024
-#: Rests that wait in a task.
-BUFFER = 512
+#: Rests that wait in a task; pieces that its encoder remembers in a generation, more than by default as nothing else needs the memory.
+BUFFER, MEMO_PIECES = 512, 700_000
 
 SCHEMA = "doc_id long, start long, length long, loss_tokens long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -130,7 +130,7 @@ def pack(
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches):
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, memo_pieces=MEMO_PIECES), np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, max_segments, max_loss)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []

@@ -28,7 +28,7 @@ def open_folder(uri: str):
     """(file system, path) of a folder, wherever pyarrow reaches it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri("/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -68,7 +68,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([at], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
     written = (
-        docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.col("text"))
+        docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(encode, "shard int, n_docs long, n_tokens long")
     )

@@ -9,14 +9,36 @@ import re
 
 from rolecall.llm.common import process_memo
 
-#: Pieces that a worker remembers, and the longest that is worth it.
-MEMO_PIECES, MEMO_LENGTH = 1_000_000, 48
+#: Pieces that a worker remembers in each of two generations (some 200 bytes each), and the longest that is worth it.
+MEMO_PIECES, MEMO_LENGTH = 350_000, 48
+
+
+class Memo(dict):
+    """Ids of pieces in two generations: when the young one is full it becomes the old one, and what is used again comes over."""
+
+    def __init__(self, pieces: int):
+        super().__init__()
+        self.pieces = pieces
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.old[piece]
+        return ids
+
+    def unknown(self, pieces: set) -> list[str]:
+        return [p for p in pieces if p not in self and p not in self.old]
+
+    def turn(self) -> None:
+        """Let the young generation be the old one if it is full."""
+        if len(self) > self.pieces:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
     """ids of a text as little-endian bytes, `width` bytes an id; `tokenizer` reads a `tokenizers` file."""
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, memo_pieces: int = MEMO_PIECES):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -25,14 +47,33 @@ class Encoder:
         self.kind = np.dtype(f"<u{width}")
         if self.tokenizer.get_vocab_size() > 256**width:
             raise ValueError(f"{width} bytes do not hold the ids of {path}")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(memo_pieces)
         self.unsafe = re.compile(r"(?<!\S) (?!\S)")
+        # tokens that begin with a space, as the vocabulary writes it
+        self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """ids of pieces led by a space each. Those without white space inside are encoded together and told apart by their leading spaces."""
+        import numpy as np
+
+        out = {}
+        plain = [p for p in pieces if p.split() == [p]]
+        for lo in range(0, len(plain), 200):
+            part = plain[lo : lo + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(part):
+                raw, at = ids.astype(self.kind).tobytes(), [*(starts * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+                out.update((p, raw[a:b]) for p, a, b in zip(part, at, at[1:]))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self._raw([" " + p for p in rest])))
+        return out
+
     def __call__(self, text: str) -> bytes:
         if self.unsafe.search(text):
             return self._raw([text])[0]
@@ -42,23 +83,18 @@ class Encoder:
             return head + b"".join(map(memo.__getitem__, rest))
         except KeyError:
             pass
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = [p for p in set(rest).difference(memo)]
-        found = dict(zip(new, self._raw([" " + p for p in new])))
-        short = {p: ids for p, ids in found.items() if len(p) <= MEMO_LENGTH}
-        memo.update(short)
-        if len(short) < len(found):
-            return head + b"".join([memo[p] if p in memo else found[p] for p in rest])
-        return head + b"".join(map(memo.__getitem__, rest))
-
-
-def encoder(path: str, width: int = 4) -> Encoder:
+        memo.turn()
+        found = self._pieces(memo.unknown(set(rest)))
+        memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_LENGTH)
+        return head + b"".join([found[p] if p in found else memo[p] for p in rest])
+
+
+def encoder(path: str, width: int = 4, memo_pieces: int = MEMO_PIECES) -> Encoder:
     """The worker's encoder for a file."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return process_memo(f"encoder:{path}:{width}", lambda: Encoder(path, width))
+    return process_memo(f"encoder:{path}:{width}", lambda: Encoder(path, width, memo_pieces))
 
 
 def default_path() -> str:
