@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.tokens import encoder
+from rolecall.llm.tokens import MEMO_PIECES, encoder
 
 CAPACITY, MAX_SEGMENTS, MAX_LOSS = 1024, 64, 1024
-#: Rests that wait in a task; pieces that its encoder remembers in a generation, more than by default as nothing else needs the memory.
-BUFFER, MEMO_PIECES = 512, 700_000
+#: Rests that wait in a task.
+BUFFER = 512
 
 SCHEMA = "doc_id long, start long, length long, loss_tokens long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,11 +117,11 @@ class Packer:
 
 def pack(
     examples: DataFrame, tokenizer: str, end_id: int = 0, prompt: str | None = None, with_ids: bool = True,
-    capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS,
+    capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, memo_pieces: int = MEMO_PIECES,
 ) -> DataFrame:
     """Pieces of (doc_id, text), with their place in a sequence and, with `with_ids`, their ids.
 
-    `prompt` names a column whose tokens stand in front and bear no loss.
+    `prompt` names a column whose tokens stand in front and bear no loss. `memo_pieces` is what an encoder remembers, memory for time.
     """
     columns = ["doc_id", F.coalesce("text", F.lit("")).alias("text")]
     columns += [F.coalesce(prompt, F.lit("")).alias("_prompt")] if prompt else []
@@ -130,7 +130,7 @@ def pack(
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches):
-        encode, end = encoder(tokenizer, memo_pieces=MEMO_PIECES), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, memo_pieces=memo_pieces), np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, max_segments, max_loss)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []

@@ -42,7 +42,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), default_path(), with_ids=False).drop("loss_tokens")
+    # nothing else in this query needs the memory that its encoders take
+    return packing.pack(table(spark, sf_dir, "documents"), default_path(), with_ids=False, memo_pieces=1_200_000).drop("loss_tokens")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

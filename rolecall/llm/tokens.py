@@ -94,7 +94,7 @@ def encoder(path: str, width: int = 4, memo_pieces: int = MEMO_PIECES) -> Encode
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return process_memo(f"encoder:{path}:{width}", lambda: Encoder(path, width, memo_pieces))
+    return process_memo(f"encoder:{path}:{width}:{memo_pieces}", lambda: Encoder(path, width, memo_pieces))
 
 
 def default_path() -> str:
