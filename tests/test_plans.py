@@ -97,7 +97,7 @@ def test_active_postings_have_their_own_partition(spark, fx, tmp_path):
 
     assert PARTITION_BY["job_info"] == ["is_active"]
     write_table(fx.job_info, str(tmp_path), "job_info", version_name(1), 4)
-    stored = spark.read.parquet(str(tmp_path / "job_info" / f"version={version_name(1)}"))
+    stored = spark.read.schema(fx.job_info.schema).parquet(str(tmp_path / "job_info" / f"version={version_name(1)}"))
     text = plan(listing.active(stored).select("id"))
     assert re.search(r"PartitionFilters: \[[^\]]*is_active", text)
     assert stored.count() == fx.job_info.count() and stored.where("is_active").count() == listing.active(fx.job_info).count()
