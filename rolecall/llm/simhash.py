@@ -219,10 +219,11 @@ def near_duplicates(docs: DataFrame, limit: int = 3) -> DataFrame:
     marked = stored(fingerprints(docs), "fingerprints")
     codes = stored(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "codes")
     edges = links(codes.select("bits"), limit)
-    # nodes go by the smallest id that has their code, so the smallest node is the smallest id; all-null groups stand alone
-    named = edges.join(codes.select(F.col("bits").alias("a"), F.col("first").alias("u")), "a").join(codes.select(F.col("bits").alias("b"), F.col("first").alias("v")), "b")
-    found = components(named.select(F.col("u").alias("a"), F.col("v").alias("b")).dropna())
-    grouped = codes.join(found, F.col("first") == F.col("node"), "left").select("bits", F.coalesce("root", "first").alias("component_id"))
+    # nodes are codes, so that those which only rows without an id have connect others, too
+    found = components(edges)
+    rooted = stored(codes.join(found, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("root", "bits").alias("top")), "rooted")
+    smallest = rooted.groupBy("top").agg(F.min("first").alias("component_id"))
+    grouped = rooted.join(smallest, "top").select("bits", "component_id")
     return marked.join(grouped, "bits").select("doc_id", "bits", "component_id")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from rolecall.llm import simhash
 
 
@@ -105,3 +106,11 @@ def test_odd_rows(odd_docs, docs_of):
     assert [r.doc_id for r in simhash.one_of_each(again).collect()] == [3, 3]
     mixed = docs_of([(1, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w")])
     assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(mixed).collect()) == [("1", "a b c d"), ("None", "x y z w"), ("None", "x y z w")]
+
+
+def test_codes_that_only_nameless_rows_have_connect_others(spark, docs_of, monkeypatch):
+    codes = {"first": 0, "between": 0b111, "second": 0b111111, "far": 2**40 - 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.col("text")).cast("long").alias("bits")))
+    docs = docs_of([(4, "first"), (None, "between"), (2, "second"), (9, "far"), (None, "far")])
+    got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [("2", 2), ("4", 2), ("9", 9), ("None", 2), ("None", 9)]
