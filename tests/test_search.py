@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rolecall.checks import vectors
 from rolecall.functions.vectors import cosine_similarity, mean_vector
 from rolecall.operators import knn
 from rolecall.operators.model_batch import call_model, embed_sentences, split_good_failed
@@ -57,6 +58,15 @@ def test_approximate_search_finds_most_and_ranks_like_the_exact_one(spark):
             assert abs(whole[(r.resume_id, r.job_id)] - r.similarity) < 1e-12
 
 
+def test_the_registered_approximate_search_reaches_nine_tenths_of_brute_force(spark):
+    given_ = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id")
+    matrix = np.array([r.embedding for r in given_.select("embedding").collect()])
+    ids = [r.vec_id for r in given_.select("vec_id").collect()]
+    near = knn.top_k(given_.select(F.col("vec_id").alias("resume_id"), "embedding"), given_.select(F.col("vec_id").alias("job_id"), "embedding"), 10, cells=vectors.CELLS, probes=vectors.PROBES)
+    exact = {(ids[i], ids[j]) for i, j in brute(matrix, matrix, 10)}
+    assert vectors.RECALL >= 0.9 and len(set(found(near)) & exact) >= 0.9 * len(exact)
+
+
 def test_missing_and_zero_vectors_are_left_out(spark):
     items = spark.createDataFrame([(0, None), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "job_id long, embedding array<float>")
     queries = spark.createDataFrame([(0, [1.0, 0.1]), (1, None)], "resume_id long, embedding array<float>")
