@@ -3,11 +3,12 @@
 The DOMs of a host's pages are merged: elements that have the same path of tags and presentation attributes are one
 node of the host's style tree. A node's presentation importance is the entropy of the layouts (sequences of child tags)
 that it has on the host's pages, its content importance that of the texts below it, both as shares of what they could be.
-Layout and text that are the same on nearly every page of a host are templates: the branch is removed from each page.
+Layout and text that are the same on nearly every page of a host are templates: the branch is removed from each page. Pages
+of one main text count once, so copies of a page make nothing a template.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments that tell what they are by tag, role or class
-have importance zero without counting, as hosts may fill them anew on every page. The flow of the article (paragraphs,
-headings, lists, tables) is never a branch to judge: a host may publish one text often.
+have importance zero without counting, as hosts may fill them anew on every page. The flow of
+the article (paragraphs, headings, lists, tables) and what holds the article are never branches to judge.
 
 What is left of the page's articles (or of its main element, or else of its body) is its text: character references
 decoded, white space inside a block turned into one space, blocks joined in page order by one line end.
@@ -42,28 +43,34 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that the style tree judges: containers, not the flow of a text.
-JUDGED = set("div section aside header footer nav form ul ol dl table figure details center".split())
+#: Elements that the style tree judges: containers; and those that it judges outside the article only, as they are its flow, too.
+JUDGED = set("div section aside header footer nav form center".split())
+JUDGED_OUTSIDE = set("ul ol dl table figure details".split())
 #: Opening one of these closes an open paragraph, or an open element of its own kind.
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 def is_noise(tag: str, attributes: dict) -> bool:
-    """Whether an element says by its tag, role or names that it is not content."""
-    if tag in NOISE_TAGS or (attributes.get("role") or "").lower() in NOISE_ROLES or "hidden" in attributes:
-        return True
-    names = re.split(r"[^a-z0-9]+", f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower())
+    """Whether an element says by its tag or role that it is not content."""
+    return tag in NOISE_TAGS or (attributes.get("role") or "").lower() in NOISE_ROLES or "hidden" in attributes
+
+
+def is_named_noise(tag: str, attributes: dict) -> bool:
+    """Whether an element has a class or an id that content has not."""
+    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower()
+    names = re.split(r"[^a-z0-9]+", names)
     if tag == "article":  # readers' comments come as articles, too
         return not {"comment", "reply"}.isdisjoint(names)
     return tag not in ("html", "body", "main") and not NOISE_NAMES.isdisjoint(names)
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "noise", "main", "judged")
+    __slots__ = ("tag", "key", "children", "noise", "named", "main", "judged", "within")
 
-    def __init__(self, tag, key, noise=False, main=False, judged=False):
-        self.tag, self.key, self.noise, self.main, self.judged = tag, key, noise, main, judged
+    def __init__(self, tag, key, noise=False, main=False, judged=False, named=False):
+        self.tag, self.key, self.noise, self.main, self.judged, self.named = tag, key, noise or named, main, judged, named and not noise
+        self.within = main  # an article or main element, or in one
         self.children: list = []  # nodes and strings
 
     def text(self) -> str:
@@ -87,8 +94,22 @@ class Page(HTMLParser):
         self.open = [self.root]
         self.judged: list[Node] = []
         self.mains: list[Node] = []
+        self.above: list[list[Node]] = []  # the elements that each of `mains` is in
         self.feed(html)
         self.close()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Keep the mains that are not noise or in it."""
+        seen = [(m, up) for m, up in zip(self.mains, self.above) if not m.noise]
+        self.mains = [m for m, up in seen if not any(x.noise for x in up)]
+        # a branch that holds the article is never judged
+        live = set(map(id, self.mains))
+        for m, up in seen:
+            if id(m) in live:
+                for x in (m, *up):
+                    x.judged = False
+        self.judged = [n for n in self.judged if n.judged]
 
     def _close_to(self, k: int) -> None:
         del self.open[k:]
@@ -111,12 +132,17 @@ class Page(HTMLParser):
         attributes = dict(attrs)
         above = self.open[-1]
         look = f"{tag} {attributes.get('class') or ''} {attributes.get('id') or ''} {attributes.get('role') or ''}"
-        node = Node(tag, xxh64_intdigest(look.encode("utf-8", "surrogatepass"), above.key), tag in UNSEEN or is_noise(tag, attributes), tag in ("article", "main") or attributes.get("role") == "main", tag in JUDGED)
+        main = tag in ("article", "main") or attributes.get("role") == "main"
+        judged = tag in JUDGED or tag in JUDGED_OUTSIDE and not above.within
+        key = xxh64_intdigest(look.encode("utf-8", "surrogatepass"), above.key)
+        node = Node(tag, key, tag in UNSEEN or is_noise(tag, attributes), main, judged, is_named_noise(tag, attributes))
+        node.within |= above.within
         above.children.append(node)
         if node.judged:
             self.judged.append(node)
         if node.main:
             self.mains.append(node)
+            self.above.append(self.open[1:])
         if tag not in VOID:
             self.open.append(node)
 
@@ -136,17 +162,18 @@ def as_signed(x: int) -> int:
 
 
 def branches(page: Page) -> list[tuple[int, int, int]]:
-    """(node key, layout, content) of each judged element that is not noise by itself."""
+    """(node key, layout, content) of each node of the style tree on a page: of all judged elements that are it and no noise by themselves."""
     from xxhash import xxh64_intdigest
 
-    out = []
+    found: dict[int, tuple[list, list]] = {}
     for node in page.judged:
         if not node.noise:
             tags = [c.tag for c in node.children if not isinstance(c, str)]
-            layout = " ".join(t for k, t in enumerate(tags) if not k or t != tags[k - 1])
-            content = node.text()
-            out.append((as_signed(node.key), as_signed(xxh64_intdigest(layout.encode())), as_signed(xxh64_intdigest(content.encode("utf-8", "surrogatepass")))))
-    return out
+            layouts, contents = found.setdefault(node.key, ([], []))
+            layouts.append(" ".join(t for k, t in enumerate(tags) if not k or t != tags[k - 1]))
+            contents.append(node.text())
+    digest = lambda x: as_signed(xxh64_intdigest("\n".join(x).encode("utf-8", "surrogatepass")))
+    return [(as_signed(key), digest(layouts), digest(contents)) for key, (layouts, contents) in found.items()]
 
 
 def main_text(page: Page, templates: frozenset | set) -> str:
@@ -187,22 +214,29 @@ def host() -> F.Column:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, key, n_pages, importance) of each judged node of each host's merged pages.
 
-    Counts are partial aggregates of hashes, so a host that has a third of all pages is spread like any other.
+    Pages of a host that have one main text count once. Counts are partial aggregates of hashes, so a host that has a third of
+    all pages is spread like any other.
     """
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            rows = [[], [], [], []]
+            rows = [[], [], [], [], []]
             for name, html in zip(batch.column("host").to_pylist(), batch.column("html")):
-                for row in branches(Page(html.as_py())):
-                    for column, value in zip(rows, (name, *row)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "key", "layout", "content"])
-
-    seen = pages.where("host IS NOT NULL AND length(html) > 0").select("host", "html").mapInArrow(run, "host string, key long, layout long, content long")
+                page = Page(html.as_py())
+                if judged := branches(page):
+                    text = as_signed(xxh64_intdigest(main_text(page, ()).encode("utf-8", "surrogatepass")))
+                    for row in judged:
+                        for column, value in zip(rows, (name, text, *row)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), *[pa.int64()] * 4))], names=["host", "page", "key", "layout", "content"])
+
+    seen = pages.where("host IS NOT NULL AND length(html) > 0").select("host", "html").mapInArrow(run, "host string, page long, key long, layout long, content long")
+    once = seen.groupBy("host", "page", "key").agg(F.min(F.struct("layout", "content")).alias("x")).select("host", "key", "x.layout", "x.content")
     entropy = lambda n, x: F.when(n > 1, (F.log(n) - x / n) / F.log(n)).otherwise(1.0)
     parts = []
-    counted = seen.groupBy("host", "key", "layout", "content").agg(F.count("*").alias("n"))
+    counted = once.groupBy("host", "key", "layout", "content").agg(F.count("*").alias("n"))
     for feature in ("layout", "content"):
         each = counted.groupBy("host", "key", feature).agg(F.sum("n").alias("n"))
         parts.append(each.groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("x")).select("host", "key", F.col("n").alias(f"{feature}_n"), entropy(F.col("n"), F.col("x")).alias(feature)))

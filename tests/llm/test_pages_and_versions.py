@@ -51,6 +51,25 @@ def test_a_branch_that_a_host_repeats_is_removed(spark):
     assert got[101].text == "T1\nAll about us since 1999\nstory 1 1\nend"  # too few pages to tell
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    bodies = {
+        "div": "<body><div><p>story {0}</p><ul><li>one {0}<li>two</ul></div></body>",
+        "holder": "<body><div><article><section><p>story {0}</p><table><tr><td>c {0}</table></section></article></div></body>",
+    }
+    rows = [(k, f"https://{name}.example/{k}", body.format(0 if k < 90 else k)) for name, body in bodies.items() for k in range(100)]
+    rows += [(k, f"https://{name}.copies/{k}", body.format(0)) for name, body in bodies.items() for k in range(8)]
+    got = {r.url: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(got) == 216
+    for _, url, html in rows:
+        assert got[url] == text_of(html) and "story" in got[url] and got[url].count("\n") >= 1
+
+
+def test_lists_of_an_article_are_never_judged(spark):
+    # one list in each article of a host
+    rows = [(k, f"https://h.example/{k}", f"<body><article><p>story {k}</p><ul><li>always</ul><div class='box'>since 1999</div></article></body>") for k in range(30)]
+    assert {r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()} == {f"story {k}\nalways" for k in range(30)}
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://h/", ""), (None, "nonsense", "<p>x</p>"), (3, "http://h/", "<p>☃ y</p>"), (3, "http://h/", "<p>☃ y</p>"), (4, "http://h/", "<p>" + "z " * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, PAGES)).collect()
