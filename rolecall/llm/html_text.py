@@ -7,7 +7,7 @@ Layout and text that are the same on nearly every page of a host are templates:
 of one main text count once, so copies of a page make nothing a template.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments that tell what they are by tag, role or class
-have importance zero without counting, as hosts may fill them anew on every page. The flow of
+have importance zero without counting, as hosts may fill them anew on every page; a name is a whole class or id. The flow of
 the article (paragraphs, headings, lists, tables) and what holds the article are never branches to judge.
 
 What is left of the page's articles (or of its main element, or else of its body) is its text: character references
@@ -34,10 +34,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 UNSEEN = set("script style noscript template head title iframe object svg canvas audio video select option datalist math map".split())
 NOISE_TAGS = set("nav header footer aside form button dialog menu textarea fieldset label input".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+#: Whole class names and ids; those that content may have as well (header, promotion, widget) are left to the style tree.
 NOISE_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead footer sidebar aside widget comment comments commentlist disqus reply replies respond notice notices cookie cookies consent gdpr "
-    "newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay pagination pager toolbar".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs "
+    "masthead footer sidebar comment comments commentlist disqus cookie cookies gdpr newsletter subscribe share sharing popup modal pagination pager toolbar "
+    "ad-box ad-banner ad-slot ad-container ad-wrapper cookie-notice cookie-banner cookie-bar cookie-consent site-header site-footer site-nav main-nav main-menu "
+    "nav-bar nav-menu side-bar comment-list comments-area comment-form share-buttons social-share social-links related-posts related-articles newsletter-signup".split()
 )
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -58,8 +60,7 @@ def is_noise(tag: str, attributes: dict) -> bool:
 
 def is_named_noise(tag: str, attributes: dict) -> bool:
     """Whether an element has a class or an id that content has not."""
-    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower()
-    names = re.split(r"[^a-z0-9]+", names)
+    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().replace("_", "-").split()
     if tag == "article":  # readers' comments come as articles, too
         return not {"comment", "reply"}.isdisjoint(names)
     return tag not in ("html", "body", "main") and not NOISE_NAMES.isdisjoint(names)
@@ -100,9 +101,19 @@ class Page(HTMLParser):
         self._settle()
 
     def _settle(self) -> None:
-        """Keep the mains that are not noise or in it."""
+        """Keep the mains that are not noise or in it; without an article among them, names around the others count for nothing if those say more."""
         seen = [(m, up) for m, up in zip(self.mains, self.above) if not m.noise]
         self.mains = [m for m, up in seen if not any(x.noise for x in up)]
+        if len(self.mains) < len(seen) and not any(m.tag == "article" and m.text() for m in self.mains):
+            shown, mains = main_text(self, ()), self.mains
+            named = [x for _, up in seen if not any(x.noise and not x.named or x.main and x.named for x in up) for x in up if x.named]
+            for x in named:
+                x.noise = False
+            self.mains = [m for m, up in seen if not any(x.noise for x in up)]
+            if len(main_text(self, ())) <= len(shown):
+                for x in named:
+                    x.noise = True
+                self.mains = mains
         # a branch that holds the article is never judged
         live = set(map(id, self.mains))
         for m, up in seen:

@@ -135,3 +135,12 @@ def test_fingerprints_of_odd_and_empty_tables(odd_docs, docs_of):
     assert fingerprint.versions(docs_of([])).isEmpty()
     lone = fingerprint.versions(docs_of([(1, "only one here")])).collect()
     assert len(lone) == 1 and lone[0].near_next == 1
+
+
+def test_names_that_hold_a_noise_word_are_not_noise():
+    for attributes in ('class="content with-sidebar"', 'id="no-sidebar"', 'class="has-header"', 'class="sidebar"', 'id="main_nav"'):
+        assert text_of(f"<body><div {attributes}><article><h1 class='entry-header'>t</h1><section class='promotion'>s</section></article></div></body>") == "t\ns"
+    # names still tell where the article is elsewhere, or where they hold less than the rest
+    assert text_of("<article>a</article><div class='sidebar'><article>b</article></div>") == "a"
+    assert text_of("<main><p>the long text</p><div class='related-posts'><article>b</article></div></main>") == "the long text"
+    assert text_of("<p>x</p><div class='Cookie_Notice'>b</div><div class='big ad'>c</div>") == "x"
