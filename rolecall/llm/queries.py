@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import fingerprint, html_text, mixing, ordinal, packing, quality_rules, simhash, token_files, toxicity, warc
+from rolecall.llm import decontaminate, fingerprint, html_text, mixing, ordinal, packing, quality_rules, simhash, token_files, toxicity, warc
 from rolecall.llm.common import table
 from rolecall.llm.tokens import default_path
 
@@ -50,9 +50,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 OPERATORS = (
     op1_toxicity, op2_quality_classifier, op3_warc_revisits, op4_html_text, op5_token_files, op6_simhash, op7_fingerprints, op8_mixing, op9_packing,
-    op10_quality_rules,
+    op10_quality_rules, op13_decontaminate,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -106,4 +110,28 @@ SELECT doc_id, size, source_size, target,
 FROM lined
 """
 
-ORACLES = {"op3_warc_revisits": OP3_SQL, "op8_mixing": OP8_SQL}
+OP13_SQL = r"""
+WITH lined AS (
+  SELECT row_number() OVER () AS rid, doc_id, w FROM (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents)
+), lined_items AS (
+  SELECT item_id, w, least(10, len(w)) AS width FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), grams AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i : i + width - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM lined_items)
+), placed AS (
+  SELECT rid, i, width, array_to_string(w[i : i + width - 1], ' ') AS gram
+  FROM (SELECT rid, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM lined, (SELECT DISTINCT width FROM grams))
+), hits AS (SELECT rid, i, width, item_id FROM placed JOIN grams USING (width, gram)
+), hit_words AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + width)) AS k FROM hits) GROUP BY rid
+), hit_items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lined LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+"""
+
+ORACLES = {"op13_decontaminate": OP13_SQL, "op3_warc_revisits": OP3_SQL, "op8_mixing": OP8_SQL}
