@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolecall.llm import mixing, near_copies, ordinal, packing, toxicity
+from rolecall.llm import mixing, ordinal, packing, simhash, toxicity
 from rolecall.llm.common import stored, table
 from rolecall.llm.tokens import default_path
 
@@ -18,8 +18,8 @@ def quality_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest id, of each group of documents that five-word shingles of similarity 0.8 or more connect."""
-    return near_copies.one_row_of_each(docs)
+    """One row, that of the smallest id, of each group of documents that SimHash links (three-word shingles, at most three bits) connect."""
+    return simhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
