@@ -8,7 +8,7 @@ goes over the texts three times, with words found by numpy in windows of some me
    reaches the threshold survives. Counts are cut at the threshold first: only whether it is reached matters.
 2. The same for three and four words, of which only those enter whose pairs all survived.
 3. What survived is counted exactly, by its words: a task tells n-grams apart by exact numbers of their words, and
-   partial counts meet by language and phrase.
+   partial counts of whole phrases meet in hash partitions.
 
 Survivors travel as one bit of a fixed BITS (16 MB broadcast, whatever the input). Bits that meet let others pass, never
 lose one; the exact count drops what stays below the threshold. So do hashes that meet.
@@ -237,18 +237,31 @@ def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, number, counts
 
 
-def exact_counts(texts: DataFrame, short, long, window: int = WINDOW_BYTES, held: int = HELD_PHRASES) -> DataFrame:
-    """(lang, phrase, n): partial counts of the marked phrases; phrase is null in a language's count of all words."""
+def packed(found: dict, parts: int) -> pa.RecordBatch:
+    """Counts of phrases as a row (part, lang, phrases, counts) for each hash partition and language; phrases end with a line end."""
+    from xxhash import xxh64_intdigest
 
-    def count(batches):
-        found: dict[tuple, int] = {}
+    rows: dict[tuple, tuple] = {}
+    for (lang, phrase), n in found.items():
+        part = -1 if phrase is None else xxh64_intdigest(phrase, 1) % parts
+        phrases, counts = rows.setdefault((part, lang), ([], []))
+        phrases.append(phrase or b"")
+        counts.append(n)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([part for part, _ in rows], pa.int64()), pa.array([lang for _, lang in rows], pa.string()),
+            pa.array([b"\n".join(phrases) for phrases, _ in rows.values()], pa.binary()),
+            pa.array([np.array(counts, "<i8").tobytes() for _, counts in rows.values()], pa.binary()),
+        ],
+        names=["part", "lang", "phrases", "counts"],
+    )
 
-        def out():
-            keys = list(found)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())]
-            found.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
+def exact_counts(texts: DataFrame, short, long, threshold: int, parts: int, window: int = WINDOW_BYTES, held: int = HELD_PHRASES) -> DataFrame:
+    """(lang, phrase, n) of the marked phrases that reach the threshold; phrase is null in a language's count of all words."""
+
+    def count(batches):
+        found: dict[tuple, int] = {}
         for batch in batches:
             for lang, part in by_language(batch, window):
                 words = Words(part)
@@ -273,11 +286,32 @@ def exact_counts(texts: DataFrame, short, long, window: int = WINDOW_BYTES, held
                     numbers = np.zeros(len(ok), np.int64)
                     numbers[at] = dense
                 if len(found) >= held:
-                    yield out()
+                    yield packed(found, parts)
+                    found.clear()
         if found:
-            yield out()
+            yield packed(found, parts)
+
+    def add_up(batches):
+        current, sums = None, {}
+
+        def done():
+            kept = [(phrase, n) for phrase, n in sums.items() if n >= threshold or current[0] < 0]
+            phrases = pa.array([None if current[0] < 0 else phrase for phrase, _ in kept], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([current[1]] * len(kept), pa.string()), phrases, pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*[batch.column(c).to_pylist() for c in ("part", "lang", "phrases", "counts")]):
+                if (part, lang) != current:
+                    if current is not None:
+                        yield done()
+                    current, sums = (part, lang), {}
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<i8").tolist()):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        if current is not None:
+            yield done()
 
-    return texts.mapInArrow(count, "lang string, phrase string, n long")
+    rows = texts.mapInArrow(count, "part long, lang string, phrases binary, counts binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "lang").mapInArrow(add_up, "lang string, phrase string, n long")
 
 
 def wide(column: str) -> Column:
@@ -292,8 +326,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, partition_bytes:
     share = docs.sparkSession.sparkContext.broadcast
     short = share(survivors(texts, parts, (1, 2), None, threshold, flush, window))
     long = share(survivors(texts, parts, (3, 4), short, threshold, flush, window))
-    summed = exact_counts(texts, short, long, window).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stored(summed.where((F.col("n") >= threshold) | F.col("phrase").isNull()), "phrases")
+    return stored(exact_counts(texts, short, long, threshold, parts, window), "phrases")
 
 
 def ranked(counts: DataFrame, covered_percent: int = COVERED_PERCENT, top: int = TOP) -> DataFrame:
