@@ -249,7 +249,7 @@ def local_nodes(rows: DataFrame, shards: int) -> DataFrame:
 NODE = ["depth", "bytes", "p1", "p2", "q1", "q2"]
 
 
-def subtree_sums(weights: DataFrame, shards: int) -> DataFrame:
+def subtree_sums(weights: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
     """(p1, p2, leaves, saved, parent_conv) of each shard's nodes: weights of the nodes below, added up the parent slots.
 
     Rows without a depth only bring weight to a digest of the shard.
@@ -268,7 +268,9 @@ def subtree_sums(weights: DataFrame, shards: int) -> DataFrame:
         leaves, saved, conv, parent, deep = np.zeros(n, np.int64), np.zeros(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
         np.add.at(leaves, slot, table["leaves"].to_numpy())
         np.add.at(saved, slot, table["saved"].to_numpy())
-        conv[own], parent[own], deep[own] = table["conv_id"].fill_null(0).to_numpy()[node], index.find(q1, q2), depth[node]
+        # what goes on into an earlier block goes by `later_blocks`, though the shard may hold that block, too
+        within = (depth[node] - 1) % block > 0
+        conv[own], parent[own], deep[own] = table["conv_id"].fill_null(0).to_numpy()[node], np.where(within, index.find(q1, q2), -1), depth[node]
         order = np.argsort(deep, kind="stable")[::-1]
         for level in np.split(order, np.flatnonzero(np.diff(deep[order])) + 1):
             inner = level[parent[level] >= 0]
@@ -366,7 +368,7 @@ def trie(paths: DataFrame, conversations: DataFrame, block: int = BLOCK, shard_r
     if everyone.longest > block:
         weights = stored(weights, "weights")
         weights = weights.unionByName(later_blocks(owned, rows, lengths, block), allowMissingColumns=True)
-    sums = subtree_sums(weights, shards).groupBy("p1", "p2").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"), F.min("parent_conv").alias("parent_conv"))
+    sums = subtree_sums(weights, shards, block).groupBy("p1", "p2").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"), F.min("parent_conv").alias("parent_conv"))
 
     last = rows.join(lengths, "conv_id").where("depth = length").select("p1", "p2", "conv_id")
     zero = F.lit(0).cast("long")
