@@ -62,7 +62,7 @@ class Packer:
         return piece
 
     def add(self, example) -> None:
-        """`example`: (id, ids as bytes, loss-free tokens in front, tokens)."""
+        """`example`: (id, ids, loss-free tokens in front, tokens)."""
         at, left = 0, example[3]
         while left:
             length = self._fitting(example, at, min(left, self.capacity))
@@ -130,7 +130,7 @@ def pack(
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches):
-        encode, end = encoder(tokenizer, memo_pieces=memo_pieces), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, memo_pieces=memo_pieces), np.array([end_id], "<u4")
         packer = Packer(capacity, max_segments, max_loss)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -141,9 +141,9 @@ def pack(
                 offset = 0
                 for piece in pieces:
                     example, start, length = piece
-                    ids = example[1][4 * start : 4 * (start + length)]
+                    ids = example[1][start : start + length]
                     row = (example[0], start, length, packer.loss(piece), zlib.crc32(ids), example[3], sequence, offset)
-                    rows.append((*row, ids) if with_ids else row)
+                    rows.append((*row, ids.tobytes()) if with_ids else row)
                     offset += length
                 sequence += 1
 
@@ -153,11 +153,11 @@ def pack(
             return made
 
         for batch in batches:
-            prompts = batch.column("_prompt") if prompt else None
-            for k, (name, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
-                front = encode(prompts[k].as_py()) if prompt else b""
-                ids = front + encode(text.as_py()) + end
-                packer.add((name, ids, len(front) // 4, len(ids) // 4))
+            coded = encode.encode_all(batch.column("text"))
+            fronts = encode.encode_all(batch.column("_prompt")) if prompt else [end[:0]] * len(coded)
+            for name, front, own in zip(batch.column("doc_id").to_pylist(), fronts, coded):
+                ids = np.concatenate([front, own, end])
+                packer.add((name, ids, len(front), len(ids)))
                 emit(packer.sequences())
                 if len(rows) >= 5000:
                     yield batch_of()

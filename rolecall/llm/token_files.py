@@ -39,7 +39,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
     shards = max(1, -(-size // shard_bytes))
 
     def encode(batches):
-        encode_text, end = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+        encode, end = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
         shard = TaskContext.get().partitionId()
         files, top = open_folder(folder)
         files.create_dir(top, recursive=True)
@@ -53,11 +53,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
             if out is None:
                 out = {e: files.open_output_stream(p) for e, p in attempt.items()}
                 out["idx"].write(np.int64(0).astype("<i8").tobytes())
-            for one in batch.column("text"):
-                ids = encode_text(one.as_py()) + end
-                out["ids"].write(ids)
-                at += len(ids) // width
-                out["idx"].write(at.to_bytes(8, "little"))
+            coded = encode.encode_all(batch.column("text"))
+            for lo in range(0, len(coded), 1000):
+                out["ids"].write(b"".join([x for ids in coded[lo : lo + 1000] for x in (ids.data, end)]))
+            ends_at = at + np.cumsum([len(ids) + 1 for ids in coded])
+            at = int(ends_at[-1])
+            out["idx"].write(ends_at.astype("<i8").tobytes())
             out["doc"].write(batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             n += batch.num_rows
         if out is None:

@@ -1,42 +1,42 @@
-"""Encoding whole texts with a public tokenizer file, word by word from a bounded memo.
+"""Encoding whole texts with a public tokenizer file, a batch at a time, from a bounded memo of pieces.
 
 A byte-level BPE never merges over the cut before a space that has a non-space on either side, so a text's ids are those
-of its space-led pieces one after another. Pieces repeat, and each worker encodes a piece once while it remembers it.
-Texts that hold a space between other white space are encoded in one piece.
+of its space-led pieces one after another. Arrow finds a batch's distinct pieces, each of them is looked up once, and numpy
+puts the ids of all pieces in a row. A worker encodes a piece once while it remembers it. Texts that hold a space between
+other white space are encoded in one piece.
 """
 
 import re
 
 from rolecall.llm.common import process_memo
 
-#: Pieces that a worker remembers in each of two generations (some 200 bytes each), and the longest that is worth it.
-MEMO_PIECES, MEMO_LENGTH = 350_000, 48
+#: Pieces that a worker remembers, some 150 bytes each, beside those of the texts it is at.
+MEMO_PIECES = 1_000_000
+#: Bytes of text that are put together at a time.
+STRETCH_BYTES = 8 << 20
 
 
-class Memo(dict):
-    """Ids of pieces in two generations: when the young one is full it becomes the old one, and what is used again comes over."""
+def _kinds():
+    """Of each byte: may it end (1), or begin (2) white space? Beyond ASCII any byte may end it, few may begin it."""
+    import numpy as np
 
-    def __init__(self, pieces: int):
-        super().__init__()
-        self.pieces = pieces
-        self.old: dict[str, bytes] = {}
+    out = np.zeros(256, np.uint8)
+    out[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 3
+    out[128:] |= 1
+    out[[0xC2, 0xE1, 0xE2, 0xE3]] |= 2
+    return out
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.old[piece]
-        return ids
 
-    def unknown(self, pieces: set) -> list[str]:
-        return [p for p in pieces if p not in self and p not in self.old]
+def gathered(values, starts, lengths):
+    """values[start : start + length] of each, one after another."""
+    import numpy as np
 
-    def turn(self) -> None:
-        """Let the young generation be the old one if it is full."""
-        if len(self) > self.pieces:
-            self.old = dict(self)
-            self.clear()
+    last = np.cumsum(lengths, dtype=np.int64)
+    return values[np.repeat(starts - last + lengths, lengths) + np.arange(last[-1] if len(last) else 0)]
 
 
 class Encoder:
-    """ids of a text as little-endian bytes, `width` bytes an id; `tokenizer` reads a `tokenizers` file."""
+    """ids of texts as little-endian numbers, `width` bytes an id; `path` is a `tokenizers` file."""
 
     def __init__(self, path: str, width: int = 4, memo_pieces: int = MEMO_PIECES):
         import numpy as np
@@ -47,46 +47,127 @@ class Encoder:
         self.kind = np.dtype(f"<u{width}")
         if self.tokenizer.get_vocab_size() > 256**width:
             raise ValueError(f"{width} bytes do not hold the ids of {path}")
-        self.memo = Memo(memo_pieces)
+        self.memo_pieces, self.white = memo_pieces, _kinds()
         self.unsafe = re.compile(r"(?<!\S) (?!\S)")
         # tokens that begin with a space, as the vocabulary writes it
         self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
+        self.slots: dict[bytes, int] = {}  # of remembered pieces: a place in the following
+        self.starts, self.lengths, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 16, self.kind)
+        self.used = 0
 
-    def _raw(self, pieces: list[str]) -> list[bytes]:
+    def _raw(self, texts: list[str]) -> list:
         import numpy as np
 
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """ids of pieces led by a space each. Those without white space inside are encoded together and told apart by their leading spaces."""
+    def _pieces(self, pieces: list[bytes]):
+        """(pieces in another order, how many ids each has, all ids). Those that are a space and no other white space are encoded
+        together and told apart by their leading spaces."""
         import numpy as np
 
-        out = {}
-        plain = [p for p in pieces if p.split() == [p]]
-        for lo in range(0, len(plain), 200):
-            part = plain[lo : lo + 200]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(part):
-                raw, at = ids.astype(self.kind).tobytes(), [*(starts * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-                out.update((p, raw[a:b]) for p, a, b in zip(part, at, at[1:]))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._raw([" " + p for p in rest])))
+        texts = [p.decode() for p in pieces]
+        plain = [k for k, t in enumerate(texts) if t[:1] == " " and t.split() == [t[1:]]]
+        rest = sorted(set(range(len(texts))) - set(plain))
+        order, lengths, ids = [], [np.zeros(0, np.int32)], [np.zeros(0, self.kind)]
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            together = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in part])], add_special_tokens=False)[0].ids)
+            starts = np.flatnonzero(self.opens[together])
+            if len(starts) != len(part):
+                rest += part
+                continue
+            order += part
+            lengths.append(np.diff(starts, append=len(together)))
+            ids.append(together)
+        each = self._raw([texts[k] for k in rest])
+        order += rest
+        return [pieces[k] for k in order], np.concatenate([*lengths, [len(x) for x in each]]).astype(np.int32), np.concatenate(ids + each).astype(self.kind)
+
+    def _remember(self, pieces: list[bytes], lengths, ids) -> None:
+        import numpy as np
+
+        n = len(self.slots)
+        while n + len(pieces) > len(self.starts):
+            self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        while self.used + len(ids) > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.lengths[n : n + len(pieces)] = lengths
+        self.starts[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
+        self.known[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slots.update(zip(pieces, range(n, n + len(pieces))))
+
+    def _looked_up(self, pieces: list[bytes]):
+        """(starts, lengths, ids): where the ids of each piece lie."""
+        import numpy as np
+
+        get = self.slots.get
+        slots = list(map(get, pieces))
+        new = [p for p, slot in zip(pieces, slots) if slot is None]
+        if new:
+            if len(self.slots) + len(new) > self.memo_pieces or self.used > 8 * self.memo_pieces:
+                # forget all but the pieces that are at hand
+                old = [p for p, slot in zip(pieces, slots) if slot is not None]
+                at = np.array([slot for slot in slots if slot is not None], np.int64)
+                starts, lengths = self.starts[at], self.lengths[at]
+                ids = gathered(self.known, starts, lengths)
+                self.slots, self.used = {}, 0
+                self._remember(old, lengths, ids)
+            self._remember(*self._pieces(new))
+            slots = [self.slots[p] for p in pieces]
+        at = np.array(slots, np.int64)
+        return self.starts[at], self.lengths[at], self.known
+
+    def encode_all(self, texts) -> list:
+        """ids of each text of an Arrow string column without nulls."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list = []
+        column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        ends = np.cumsum(np.r_[0, pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)])
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + STRETCH_BYTES, "right")) - 1)
+            out += self._stretch(column.slice(at, to - at), ends[at : to + 1] - ends[at])
+            at = to
+        return out
+
+    def _stretch(self, column, ends) -> list:
+        import numpy as np
+        import pyarrow as pa
+
+        first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + ends[-1]]
+        # pieces begin with a space or with a text
+        begins = data == 32
+        spaces = np.flatnonzero(begins)
+        full = ends[:-1][np.diff(ends) > 0]
+        around = np.r_[np.uint8(3), self.white[data], np.uint8(3)] if len(data) else np.zeros(2, np.uint8)
+        before, after = around[spaces], around[spaces + 2]
+        opening, closing = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        opening[ends], closing[ends] = True, True
+        doubtful = spaces[(((before & 1) > 0) | opening[spaces]) & (((after & 2) > 0) | closing[spaces + 1])]
+        begins[full] = True
+        cuts = np.flatnonzero(begins)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.r_[cuts, len(data)].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        starts, lengths, known = self._looked_up(pieces.dictionary.to_pylist())
+        lengths = lengths[which]
+        ids = gathered(known, starts[which], lengths)
+        borders = np.r_[0, np.cumsum(lengths, dtype=np.int64)][np.searchsorted(cuts, ends)]
+        out = [ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        for k in np.unique(np.searchsorted(ends, doubtful, "right") - 1).tolist():
+            text = column[k].as_py()
+            if self.unsafe.search(text):
+                out[k] = self._raw([text])[0]
         return out
 
     def __call__(self, text: str) -> bytes:
-        if self.unsafe.search(text):
-            return self._raw([text])[0]
-        first, *rest = text.split(" ")
-        memo, head = self.memo, self._raw([first])[0] if first else b""
-        try:
-            return head + b"".join(map(memo.__getitem__, rest))
-        except KeyError:
-            pass
-        memo.turn()
-        found = self._pieces(memo.unknown(set(rest)))
-        memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_LENGTH)
-        return head + b"".join([found[p] if p in found else memo[p] for p in rest])
+        import pyarrow as pa
+
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def encoder(path: str, width: int = 4, memo_pieces: int = MEMO_PIECES) -> Encoder:
