@@ -13,7 +13,7 @@ Components of the whole graph come from alternating star rounds on those links,
 
 Defined results: a null text is empty; an empty text and one without words have fingerprint zero and are linked like
 others; repeated ids share a row's component (one row per input row); null ids are never the smallest of a group unless
-all are null; an empty table gives no rows; other columns are ignored.
+all are null; an empty table gives no rows; other columns are ignored, and kept by `one_of_each`.
 """
 
 import numpy as np
@@ -214,29 +214,35 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
+def classes(codes: DataFrame, limit: int) -> DataFrame:
+    """codes (bits and others, no repeats) with `top`: one code of the component that links of at most `limit` bits make."""
+    found = components(links(codes.select("bits"), limit))
+    return codes.join(found, F.col("bits") == F.col("node"), "left").select(*codes.columns, F.coalesce("root", "bits").alias("top"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = 3) -> DataFrame:
     """(doc_id, bits, component_id) for each row of docs: the smallest id that links of at most `limit` bits reach."""
     marked = stored(fingerprints(docs), "fingerprints")
     codes = stored(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "codes")
-    edges = links(codes.select("bits"), limit)
     # nodes are codes, so that those which only rows without an id have connect others, too
-    found = components(edges)
-    rooted = stored(codes.join(found, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("root", "bits").alias("top")), "rooted")
+    rooted = stored(classes(codes, limit), "rooted")
     smallest = rooted.groupBy("top").agg(F.min("first").alias("component_id"))
     grouped = rooted.join(smallest, "top").select("bits", "component_id")
     return marked.join(grouped, "bits").select("doc_id", "bits", "component_id")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which Spark does not hash, by their JSON."""
+    columns = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema]
+    return F.xxhash64(*[F.to_json(F.struct(c.alias("c"))) if "map<" in f.dataType.simpleString() else c for c, f in zip(columns, docs.schema)])
+
+
 def one_of_each(docs: DataFrame, limit: int = 3) -> DataFrame:
-    """docs without all but the document of the smallest id in each component; a row without an id is kept only where its whole group has none.
-
-    Rows that repeat the kept id all stay.
-    """
-    groups = near_duplicates(docs, limit)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    lone = groups.where("component_id IS NULL").select("bits").distinct()
-    if lone.isEmpty():
-        return named
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("row"), bits_of("text").alias("bits"))
-    return named.union(nameless.join(lone, "bits", "left_semi").select("row.*"))
+    """One row of docs, all columns, for each component: that of the smallest id (none last); of several rows with that id, the first by `row_hash`."""
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    # rows are numbered as they are written, so that one of several equal rows can be told
+    rows = stored(docs.select(whole.alias("row"), bits_of("text").alias("bits"), row_hash(docs).alias("hash"), F.monotonically_increasing_id().alias("at")), "fingerprinted")
+    order = F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("doc_id"), "hash", "at")
+    codes = stored(rows.groupBy("bits").agg(F.min(order).alias("first")), "codes")
+    kept = classes(codes, limit).groupBy("top").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("row.*")

@@ -103,9 +103,18 @@ def test_odd_rows(odd_docs, docs_of):
     assert simhash.near_duplicates(docs_of([])).isEmpty() and simhash.one_of_each(docs_of([])).isEmpty()
     # the kept id twice, and a nameless copy of a named document
     again = docs_of([(3, "a b c d"), (3, "a b c d"), (4, "a b c d"), (None, "a b c d")])
-    assert [r.doc_id for r in simhash.one_of_each(again).collect()] == [3, 3]
+    assert [r.doc_id for r in simhash.one_of_each(again).collect()] == [3]
     mixed = docs_of([(1, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w")])
-    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(mixed).collect()) == [("1", "a b c d"), ("None", "x y z w"), ("None", "x y z w")]
+    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(mixed).collect()) == [("1", "a b c d"), ("None", "x y z w")]
+
+
+def test_one_row_stays_whatever_the_columns(spark):
+    rows = [(k % 3, "a b c d e" if k % 2 else "v w x y z", {"k": k // 6}, k) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `m` map<string,int>, `a.b` int").withColumnRenamed("m", "odd`name")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "a b c d e"), (0, "v w x y z")]
+    again = [sorted(map(repr, simhash.one_of_each(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert again[0] == again[1]
 
 
 def test_codes_that_only_nameless_rows_have_connect_others(spark, docs_of, monkeypatch):
