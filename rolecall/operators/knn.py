@@ -1,9 +1,8 @@
 """Cosine top-k of many query vectors over many item vectors.
 
-Items are grouped into cells around centroids. A query first searches its nearest cells; the k-th
-similarity it finds there bounds what a farther cell must offer, and the triangle inequality on unit
-vectors rules out cells that cannot. The remaining cells are searched too, so the result is exact.
-Searching the nearest cells only gives the approximate answer.
+The exact search bounds every similarity by quantised vectors and takes exact products of what the bounds leave
+(`quantised`). For the approximate one, items are grouped into cells around centroids, and a query searches its nearest
+cells only; `graph` has an index that is kept.
 
 A cell is searched in blocks of bounded size: both sides are spread over sub-blocks by a hash of their
 id, so neither a cell holding a third of all items nor one that every query visits becomes one big
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 
 from rolecall.functions.text import computed_once
 from rolecall.functions.vectors import cosine_distance
-from rolecall.session import materialise
+from rolecall.operators.quantised import candidates, quantised, scored
+from rolecall.session import materialise, stored
 
 QUERY_BLOCK = 1024
 ITEM_BLOCK = 8192
@@ -99,29 +99,15 @@ def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(visits: DataFrame, items: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
-    """Best k per query and block for the cells each query visits: (query_id, item_id, similarity).
-
-    Without a `cell` column everything is one cell.
-    """
+    """Best k per query and block for the cells each query visits: (query_id, item_id, similarity)."""
     query_blocks = F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks")
     item_blocks = F.ceil(F.count("*") / ITEM_BLOCK).alias("item_blocks")
-    if "cell" in visits.columns:
-        # One row per cell.
-        blocks = F.broadcast(visits.groupBy("cell").agg(query_blocks).join(items.groupBy("cell").agg(item_blocks), "cell"))
-
-        def sized(df: DataFrame) -> DataFrame:
-            return df.join(blocks, "cell")
-    else:
-        counts = [visits.agg(query_blocks).scalar(), items.agg(item_blocks).scalar()]
-
-        def sized(df: DataFrame) -> DataFrame:
-            return computed_once(df.withColumn("cell", F.lit(0)), df.columns + ["cell"], [
-                F.greatest(counts[0], F.lit(1)).alias("query_blocks"), F.greatest(counts[1], F.lit(1)).alias("item_blocks")
-            ])
+    # One row per cell.
+    blocks = F.broadcast(visits.groupBy("cell").agg(query_blocks).join(items.groupBy("cell").agg(item_blocks), "cell"))
 
     def spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         own_block = F.pmod(F.xxhash64(id_col), F.col(f"{own}_blocks")).alias(f"{own}_block")
-        return sized(df).select(
+        return df.join(blocks, "cell").select(
             id_col, "v", "cell", own_block, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
         )
 
@@ -168,46 +154,20 @@ def top_k(
 ) -> DataFrame:
     """(query_id, item_id, similarity, rank): exact, or approximate when `probes` limits the cells searched.
 
-    Without `cells` there is one for every CELL_ROWS items, and LEAST_CELLS at least where `probes` is to choose among them.
+    Without `cells` there is one for every CELL_ROWS items, and LEAST_CELLS at least; the exact search has none.
     """
     asked, offered = usable(queries, query_id, vector), usable(items, item_id, vector)
+    if probes is None:
+        codes = stored(quantised(offered, item_id), "codes")
+        pairs = candidates(asked, codes, query_id, item_id, k)
+        return keep_best(scored(pairs, asked, offered, query_id, item_id), query_id, item_id, k)
     if cells is None:
         n = max(1, offered.count())
-        cells = min(n, max(math.ceil(n / CELL_ROWS), 1 if probes is None else LEAST_CELLS))
-    if cells <= 1:
-        return keep_best(_search(asked, offered, query_id, item_id, k), query_id, item_id, k)
-
+        cells = min(n, max(math.ceil(n / CELL_ROWS), LEAST_CELLS))
     centroids = centroids_of(offered, cells, train_rows=train_rows)
     placed = materialise(_into_cells(offered, centroids))  # read several times below
-    first = _nearest_cells(asked, centroids, min(probes or 2, len(centroids)))
-    found = keep_best(_search(first, placed, query_id, item_id, k), query_id, item_id, k)
-    if probes is not None:
-        return found
-    found = materialise(found)  # k rows per query, used for the bound and in the result
-    rest = _cells_left(asked, found, placed, centroids, query_id, k)
-    return keep_best(
-        found.drop("rank").unionByName(_search(rest, placed, query_id, item_id, k)), query_id, item_id, k
-    )
-
-
-def _cells_left(asked, found, placed, centroids, query_id: str, k: int) -> DataFrame:
-    """The cells beyond the first two that could still hold one of a query's k best."""
-    radius = np.zeros(len(centroids))
-    for row in placed.groupBy("cell").agg(F.max("gap").alias("radius")).collect():  # one row per cell
-        radius[row.cell] = row.radius
-    kth = found.where(F.col("rank") == k).select(query_id, F.col("similarity").alias("bar"))
-
-    @F.pandas_udf("array<int>")
-    def open_cells(v: pd.Series, bar: pd.Series) -> pd.Series:
-        gaps = _distances(_matrix(v), centroids)
-        reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * bar.fillna(-1.0).to_numpy(dtype=np.float64)))
-        open_ = gaps - radius[None, :] <= reach[:, None] + 1e-6
-        seen = np.argsort(gaps, axis=1, kind="stable")[:, :2]
-        np.put_along_axis(open_, seen, False, axis=1)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in open_])
-
-    bounded = asked.join(kth, query_id, "left")
-    return bounded.select(query_id, "v", F.explode(open_cells("v", "bar")).alias("cell"))
+    visits = _nearest_cells(asked, centroids, min(probes, len(centroids)))
+    return keep_best(_search(visits, placed, query_id, item_id, k), query_id, item_id, k)
 
 
 def one_query(items: DataFrame, query: DataFrame, k: int, item_id: str = "job_id", vector: str = "embedding") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rolecall.checks import vectors
 from rolecall.functions.vectors import cosine_similarity, mean_vector
-from rolecall.operators import knn
+from rolecall.operators import graph, knn, quantised
 from rolecall.operators.model_batch import call_model, embed_sentences, split_good_failed
 from rolecall.operators.sentences import mean_vectors
 from rolecall.operators.substring_join import substring_join
@@ -58,13 +58,82 @@ def test_approximate_search_finds_most_and_ranks_like_the_exact_one(spark):
             assert abs(whole[(r.resume_id, r.job_id)] - r.similarity) < 1e-12
 
 
-def test_the_registered_approximate_search_reaches_nine_tenths_of_brute_force(spark):
-    given_ = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id")
-    matrix = np.array([r.embedding for r in given_.select("embedding").collect()])
-    ids = [r.vec_id for r in given_.select("vec_id").collect()]
-    near = knn.top_k(given_.select(F.col("vec_id").alias("resume_id"), "embedding"), given_.select(F.col("vec_id").alias("job_id"), "embedding"), 10, cells=vectors.CELLS, probes=vectors.PROBES)
+@pytest.mark.parametrize("sf,share", [("sf0.001", 0.6), ("sf0.01", 0.25), ("sf0.1", 0.1)])
+def test_the_graph_reaches_nine_tenths_of_brute_force(spark, tmp_path, sf, share):
+    given_ = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id")
+    rows = given_.select("vec_id", "embedding").collect()
+    matrix, ids = np.array([r.embedding for r in rows]), [r.vec_id for r in rows]
+    index = graph.build(given_.select(F.col("vec_id").alias("job_id"), "embedding"), str(tmp_path))
+    near, compared = graph.nearest(given_.select(F.col("vec_id").alias("resume_id"), "embedding"), index, 10)
     exact = {(ids[i], ids[j]) for i, j in brute(matrix, matrix, 10)}
     assert vectors.RECALL >= 0.9 and len(set(found(near)) & exact) >= 0.9 * len(exact)
+    assert compared.agg(F.avg("compared")).first()[0] <= share * len(ids)
+
+
+def test_a_graph_of_many_blocks_grows_and_is_built_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quantised, "QUERY_BYTES", 700)
+    queries, items = clustered(30, 12, 6), clustered(900, 12, 6)
+    items[50:60] = 0
+    offered = frame(spark, items, "job_id").withColumn("job_id", F.concat(F.lit("j"), "job_id"))
+    ask = frame(spark, queries, "resume_id")
+    half = F.xxhash64("job_id") % 2 == 0
+    graph.build(offered.limit(5), str(tmp_path))
+    graph.build(offered.where(half), str(tmp_path), block_bytes=6000)
+    index = graph.add(offered.where(~half), str(tmp_path), block_bytes=6000)
+    assert index.select(F.explode("ids").alias("id")).agg(F.count("*"), F.count_distinct("id")).first() == (890, 890)
+    near, compared = graph.nearest(ask, index, 10)
+    real = np.delete(np.arange(900), np.arange(50, 60))
+    exact = {(i, f"j{real[j]}"): r for (i, j), r in brute(queries, items[real], 10).items()}
+    got = found(near)
+    assert len(got) == 300 and len(set(got) & set(exact)) >= 0.95 * len(exact)
+    assert compared.count() == 30
+    none, _ = graph.nearest(ask.limit(0), index, 10)
+    assert none.count() == 0 and graph.nearest(ask, graph.build(offered.limit(0), str(tmp_path / "none")), 10)[0].count() == 0
+
+
+def test_links_are_mutual_bounded_and_lead_everywhere():
+    unit = clustered(400, 8, 9)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = graph.linked(unit, links=6, most=40)
+    pairs = {(i, int(j)) for i in range(400) for j in links[i] if j >= 0}
+    assert all((b, a) in pairs for a, b in pairs) and not any(a == b for a, b in pairs)
+    order = graph.apart_first(unit)
+    assert sorted(order) == list(range(400))
+    unit = unit[order]
+    links = graph.linked(unit, links=6, most=40)
+    seen = set(range(graph.entries(400)))
+    todo = list(seen)
+    while todo:
+        new = {int(j) for j in links[todo.pop()] if j >= 0} - seen
+        seen |= new
+        todo += new
+    assert len(seen) >= 396
+    assert (graph.linked(unit, most=7) >= 0).sum(axis=1).max() <= 7
+    assert graph.linked(unit[:1]).max() == -1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 30), st.integers(0, 10**6))
+def test_quantised_bounds_hold(n, width, seed):
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(size=(n, width)) * rng.choice([1e-3, 1, 1e3], size=(n, 1)) + rng.choice([0, 5], size=(1, width))
+    queries = rng.normal(size=(7, width))
+    unit, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rows, queries))
+    codes, scale, slack = quantised.codes_of(unit)
+    about = scale[:, None] * (codes.astype(np.float32) @ q.T.astype(np.float32))
+    assert (np.abs(about - unit @ q.T) <= slack[:, None]).all()
+    if width > 2:
+        assert np.median(slack) < 0.05
+
+
+def test_exact_search_in_small_steps_and_many_chunks(spark, monkeypatch):
+    for name, value_ in (("QUERY_BYTES", 500), ("ITEM_ROWS", 64), ("QUERY_ROWS", 5), ("HELD", 300)):
+        monkeypatch.setattr(quantised, name, value_)
+    queries, items = clustered(25, 12, 1), clustered(700, 12, 1)
+    items[100:140] = items[100]  # ties
+    got = found(knn.top_k(frame(spark, queries, "resume_id"), frame(spark, items, "job_id").repartition(3), 10))
+    assert got == brute(queries, items, 10)
+    assert knn.top_k(frame(spark, queries, "resume_id").limit(0), frame(spark, items, "job_id"), 10).count() == 0
 
 
 def test_missing_and_zero_vectors_are_left_out(spark):
@@ -172,3 +241,14 @@ def test_one_call_per_posting_in_sentence_order(spark):
     batches = embed_sentences(rows_per_job(sentences), lambda texts: [[float(i)] for i in range(len(texts))])
     got = {r.sentence: r.embedding[0] for r in vectors_from_batches(batches).collect()}
     assert got == {"p": 0.0, "r0": 1.0, "r1": 2.0, "t": 3.0}
+
+
+def test_running_means_leave_other_keys_alone_and_empty_ones_out(spark):
+    from rolecall.operators import running_means as r
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 5.0]), (3, None), (4, [7.0, 7.0])], "k int, embedding array<float>")
+    state = r.state_of(rows, "k")
+    assert {(x.k, x.n) for x in state.collect()} == {(1, 2), (2, 1), (4, 1)}
+    change = r.changes(rows.where("k = 2 OR embedding[0] = 3"), spark.createDataFrame([(1, [9.0, 0.0]), (3, [1.0, 1.0]), (5, None)], rows.schema), "k")
+    got = {x.k: list(x.embedding) for x in r.means(r.updated(state, change, "k"), "k").collect()}
+    assert got == {1: [5.0, 1.0], 3: [1.0, 1.0], 4: [7.0, 7.0]}
