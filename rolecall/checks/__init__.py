@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "parsing", "writes", "vectors", "resumes", "models")
+MODULES = ("relational", "parsing", "writes", "vectors", "resumes", "models", "facets")
 
 
 def load_all() -> None:

@@ -224,6 +224,19 @@ def shape_filter(fx: Fixtures):
     return listed(sites.listing("hyperithm", state_pages(fx), as_of()))
 
 
+@check("c4_json_shapes", """
+    SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'object' WHEN 1 THEN 'list' WHEN 2 THEN 'list' WHEN 3 THEN 'scalar' WHEN 4 THEN 'null'
+        WHEN 5 THEN 'broken' WHEN 6 THEN 'scalar' END AS shape FROM events""")
+def json_shapes(fx: Fixtures):
+    """Every event's properties as they are, in a list, in an empty list, as a text, null, cut off, as a number, and missing."""
+    props, kind = F.col("props"), F.col("event_id") % 8
+    body = (
+        F.when(kind == 0, props).when(kind == 1, F.concat(F.lit(" ["), props, F.lit(", 1]"))).when(kind == 2, F.lit("[]"))
+        .when(kind == 3, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(kind == 4, F.lit("null")).when(kind == 5, F.concat(F.lit("["), props)).when(kind == 6, F.lit("3.5"))
+    )
+    return fx.table("events").select("event_id", predicates.json_shape(body).alias("shape"))
+
+
 @check("a3_json_ld_date", """
     SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL
         WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') END AS posted

@@ -1,5 +1,6 @@
 """Checks of joins, aggregations, filters and sorts over the store tables."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rolecall.checks.fixtures import AS_OF, Fixtures, as_of
@@ -74,9 +75,9 @@ def tag_left_join(fx: Fixtures):
 
 
 TAG_COUNTS = """
-    SELECT t.name AS tag_name, count(jt.job_id) AS job_count
-    FROM tags t LEFT JOIN job_tags jt ON t.id = jt.tag_id LEFT JOIN job_info j ON jt.job_id = j.id
-    WHERE j.is_active GROUP BY t.name"""
+    WITH live AS (SELECT id AS posting FROM job_info WHERE is_active),
+    per_tag AS (SELECT tag_id, count(*) AS job_count FROM job_tags WHERE job_id IN (SELECT posting FROM live) GROUP BY tag_id)
+    SELECT name AS tag_name, job_count FROM per_tag JOIN tags ON id = tag_id"""
 
 
 @check("d3_null_rejecting_left", TAG_COUNTS)
@@ -193,10 +194,13 @@ def clear_stale_vectors(fx: Fixtures):
     return cleared.select("job_id", "type", "sentence_index", F.get("embedding", F.lit(0)).cast("long").alias("width"))
 
 
-@check("d15_parent_lookup", f"""
+PARENTLESS = f"""
     WITH by_affiliate AS ({AFFILIATE_COUNTS}), by_company AS (
         SELECT c.name, count(j.id) AS n FROM job_info j JOIN companies c ON j.company_id = c.id
-        WHERE j.is_active AND c.name <> 'ASIA' GROUP BY c.name)
+        WHERE j.is_active AND c.name <> 'ASIA' GROUP BY c.name)"""
+
+
+@check("d15_parent_lookup", f"""{PARENTLESS}
     SELECT a.affiliate_company_name, a.parent_company_name, CAST(a.job_count AS BIGINT) AS job_count, b.n AS parent_count
     FROM by_affiliate a JOIN by_company b ON b.name = a.parent_company_name""")
 def parent_lookup(fx: Fixtures):
@@ -205,6 +209,17 @@ def parent_lookup(fx: Fixtures):
     return listing.affiliates_of_listed_parents(by_company, listing.count_by_affiliate(fx))
 
 
+@check("d15_parents_missing", f"""{PARENTLESS}
+    SELECT count(*) AS dropped, CAST(coalesce(sum(job_count), 0) AS BIGINT) AS dropped_jobs
+    FROM by_affiliate WHERE parent_company_name NOT IN (SELECT name FROM by_company)""")
+def parents_missing(fx: Fixtures):
+    """What the lookup dropped, as the metric that it leaves."""
+    seen = Observation()
+    by_company = listing.count_by_company(fx).where("company_name <> 'ASIA'")
+    listing.affiliates_of_listed_parents(by_company, listing.count_by_affiliate(fx), seen).write.format("noop").mode("overwrite").save()
+    return fx.spark.createDataFrame([(seen.get["dropped"], seen.get["dropped_jobs"])], "dropped long, dropped_jobs long")
+
+
 @check("e1_tag_array", "SELECT id, tags FROM full_jobs WHERE is_active", LISTING_VIEWS)
 def tag_array(fx: Fixtures):
     tags = listing.tag_arrays(fx.job_tags, fx.tags)

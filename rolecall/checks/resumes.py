@@ -11,8 +11,11 @@ from rolecall.checks.vectors import MEANS
 from rolecall.functions.text import summary_lines
 from rolecall.operators.answers import parse_rerank
 from rolecall.operators.knn import top_k
+from rolecall.operators import substring_join as substrings
 from rolecall.operators.sentences import ordered_text
 from rolecall.plans import listing, matching, prompts
+from rolecall.session import scratch_path
+from rolecall.streaming import chunks
 
 NAMED = {
     "variants": """
@@ -27,10 +30,19 @@ def substring_join(fx: Fixtures):
     return matching.named_experiences(fx.resumes, fx.companies, fx.company_alternate_names)
 
 
-@check("d8_substring_join_grams", "SELECT * FROM named", NAMED)
+# The first lines of all texts as names: as many as texts, of every length.
+FIRST_LINES = {
+    "first_lines": "SELECT DISTINCT lower(string_split(text, chr(10))[1]) AS name_variant FROM documents WHERE text IS NOT NULL",
+}
+
+
+@check("d8_substring_join_grams", """
+    SELECT resume_id, md5(name_variant) AS name FROM resumes JOIN first_lines ON contains(resume_text, name_variant)""", FIRST_LINES)
 def substring_join_grams(fx: Fixtures):
-    """The same through the equi-join used for long name lists."""
-    return matching.named_experiences(fx.resumes, fx.companies, fx.company_alternate_names)
+    """A list as long as the texts are many."""
+    lines = fx.resumes.select(F.split("resume_text", "\n")[0].alias("name_variant"))
+    found = substrings.substring_join(fx.resumes, lines, "resume_id", "resume_text", "name_variant")
+    return found.select("resume_id", F.md5("name_variant").alias("name"))
 
 
 # --------------------------------------------------------------------------- texts and lines
@@ -97,6 +109,22 @@ def token_stream(fx: Fixtures):
     return ordered_text(chunks, "conv_id", "turn", "chunk", "", "summary")
 
 
+@check("e12_streamed_answers", """
+    SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN '' ELSE text END, '' ORDER BY turn) AS summary, count(*) AS chunks
+    FROM conversations GROUP BY conv_id HAVING max(turn) = count(*) - 1""")
+def streamed_answers(fx: Fixtures):
+    """Turns as chunks that land shuffled over files, a third of them twice, the last one marked as the end."""
+    turns = fx.table("conversations")
+    lengths = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = turns.join(lengths, "conv_id").select(
+        "conv_id", F.col("turn").alias("seq"), F.when(F.col("role") != "system", F.col("text")).alias("text"), (F.col("turn") == F.col("last")).alias("is_end")
+    )
+    landing = chunks.land(rows.union(rows.where("(conv_id + seq) % 3 = 0")), 4, 7)
+    out, progress = (scratch_path(fx.spark, n) for n in ("answers", "progress"))
+    whole = chunks.assemble_available(fx.spark, landing, "conv_id long, seq long, text string, is_end boolean", "conv_id", out, progress)
+    return whole.select("conv_id", F.col("text").alias("summary"), "chunks")
+
+
 # --------------------------------------------------------------------------------- matching
 
 MATCH_VIEWS = {

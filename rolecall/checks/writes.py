@@ -14,6 +14,7 @@ from rolecall.plans.listing import with_company_names
 from rolecall.plans.store import Store, empty_store
 from rolecall.session import scratch_path
 from rolecall.sources.tables import next_store, read_store, version_name, write_store
+from rolecall.streaming import current
 from rolecall.streaming.incremental import ingest_available
 
 NOW = "2001-08-01 12:00:00"
@@ -396,3 +397,18 @@ def incremental(fx: Fixtures):
         tagged = ingest.tag_and_deactivate(store, now().cast("timestamp"))
         next_store(spark, root, {"tags": tagged.tags, "job_tags": tagged.job_tags})
     return ingested(read_store(spark, root))
+
+
+@check("t1_state_ingest", INGESTED.replace("true AS is_active", "j.id % 7 <> 0 AS is_active"))
+def by_state(fx: Fixtures):
+    """The same rows with the time they were seen at, in files of any order: a seventh is not seen again after the first day."""
+    spark = fx.spark
+    landing, root, progress = (scratch_path(spark, name) for name in ("landing", "store", "progress"))
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=8)
+    day = F.when(F.col("id") % 7 == 0, F.lit("2001-07-01 09:00:00")).when(F.col("seq") < 1_000_000, F.lit("2001-07-03 21:00:00")).otherwise(F.lit("2001-07-04 09:00:00"))
+    rows = staged(fx).withColumn("seen_at", day.cast("timestamp"))
+    # later rows of a link may land before its earlier ones
+    rows.drop("id").where("seen_at < '2001-07-02'").write.mode("append").json(landing)
+    current.ingest_available(spark, landing, root, progress, now().cast("timestamp"))
+    rows.drop("id").where("seen_at >= '2001-07-02'").repartition(3, "seq").write.mode("append").json(landing)
+    return ingested(current.ingest_available(spark, landing, root, progress, now().cast("timestamp")))

@@ -10,6 +10,7 @@ Defined results: null texts and prompts are empty, and an empty example still ha
 are examples of their own; null ids are kept; an empty table gives no rows; other columns are ignored.
 """
 
+import itertools
 import zlib
 
 import numpy as np
@@ -153,9 +154,8 @@ def pack(
             return made
 
         for batch in batches:
-            coded = encode.encode_all(batch.column("text"))
-            fronts = encode.encode_all(batch.column("_prompt")) if prompt else [end[:0]] * len(coded)
-            for name, front, own in zip(batch.column("doc_id").to_pylist(), fronts, coded):
+            fronts = encode.each(batch.column("_prompt")) if prompt else itertools.repeat(end[:0])
+            for name, own, front in zip(batch.column("doc_id").to_pylist(), encode.each(batch.column("text")), fronts):
                 ids = np.concatenate([front, own, end])
                 packer.add((name, ids, len(front), len(ids)))
                 emit(packer.sequences())

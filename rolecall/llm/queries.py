@@ -25,7 +25,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), default_path())
+    # nothing else in this query needs the memory that its encoders take
+    return token_files.round_trip(table(spark, sf_dir, "documents"), default_path(), memo_pieces=1_000_000)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

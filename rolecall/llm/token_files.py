@@ -10,13 +10,15 @@ int64 (`NO_ID`), read back as null; repeated ids are further documents, ordered
 and reads as no rows; columns other than doc_id and text are ignored.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.tokens import encoder
+from rolecall.llm.tokens import MEMO_PIECES, encoder
 from rolecall.session import scratch_path
 
 #: Bytes of text that a shard is planned for.
@@ -31,7 +33,9 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri("/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width: int = 2, shard_bytes: int = SHARD_BYTES, memo_pieces: int = MEMO_PIECES
+) -> DataFrame:
     """Encode (doc_id, text) into shards below `folder`, a folder that every executor reaches; returns the manifest."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -39,7 +43,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
     shards = max(1, -(-size // shard_bytes))
 
     def encode(batches):
-        encode, end = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+        encode, end = encoder(tokenizer, width, memo_pieces), np.array([end_id], f"<u{width}").tobytes()
         shard = TaskContext.get().partitionId()
         files, top = open_folder(folder)
         files.create_dir(top, recursive=True)
@@ -53,12 +57,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
             if out is None:
                 out = {e: files.open_output_stream(p) for e, p in attempt.items()}
                 out["idx"].write(np.int64(0).astype("<i8").tobytes())
-            coded = encode.encode_all(batch.column("text"))
-            for lo in range(0, len(coded), 1000):
-                out["ids"].write(b"".join([x for ids in coded[lo : lo + 1000] for x in (ids.data, end)]))
-            ends_at = at + np.cumsum([len(ids) + 1 for ids in coded])
-            at = int(ends_at[-1])
-            out["idx"].write(ends_at.astype("<i8").tobytes())
+            for coded in itertools.batched(encode.each(batch.column("text")), 500):
+                out["ids"].write(b"".join([x for ids in coded for x in (ids.data, end)]))
+                ends_at = at + np.cumsum([len(ids) + 1 for ids in coded])
+                at = int(ends_at[-1])
+                out["idx"].write(ends_at.astype("<i8").tobytes())
             out["doc"].write(batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             n += batch.num_rows
         if out is None:
@@ -124,9 +127,9 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     return shards.repartitionById(n, "shard").mapInArrow(open_shards, out)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Write a fresh folder below the shared one and read it back: (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-files")
-    write(docs, folder, tokenizer, end_id)
+    write(docs, folder, tokenizer, end_id, memo_pieces=memo_pieces)
     return read(spark, folder, with_ids=False)

@@ -10,10 +10,10 @@ import re
 
 from rolecall.llm.common import process_memo
 
-#: Pieces that a worker remembers, some 150 bytes each, beside those of the texts it is at.
-MEMO_PIECES = 1_000_000
+#: Pieces that a worker remembers, some 200 bytes each, beside those of the texts it is at.
+MEMO_PIECES = 400_000
 #: Bytes of text that are put together at a time.
-STRETCH_BYTES = 8 << 20
+STRETCH_BYTES = 4 << 20
 
 
 def _kinds():
@@ -53,6 +53,7 @@ class Encoder:
         self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
         self.slots: dict[bytes, int] = {}  # of remembered pieces: a place in the following
         self.starts, self.lengths, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 16, self.kind)
+        self.asked = np.zeros(1024, np.int32)  # how often, since pieces were last forgotten
         self.used = 0
 
     def _raw(self, texts: list[str]) -> list:
@@ -88,7 +89,7 @@ class Encoder:
 
         n = len(self.slots)
         while n + len(pieces) > len(self.starts):
-            self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.starts, self.lengths, self.asked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.asked))
         while self.used + len(ids) > len(self.known):
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
         self.lengths[n : n + len(pieces)] = lengths
@@ -106,33 +107,41 @@ class Encoder:
         new = [p for p, slot in zip(pieces, slots) if slot is None]
         if new:
             if len(self.slots) + len(new) > self.memo_pieces or self.used > 8 * self.memo_pieces:
-                # forget all but the pieces that are at hand
-                old = [p for p, slot in zip(pieces, slots) if slot is not None]
-                at = np.array([slot for slot in slots if slot is not None], np.int64)
-                starts, lengths = self.starts[at], self.lengths[at]
-                ids = gathered(self.known, starts, lengths)
-                self.slots, self.used = {}, 0
-                self._remember(old, lengths, ids)
+                self._forget(pieces)
             self._remember(*self._pieces(new))
             slots = [self.slots[p] for p in pieces]
         at = np.array(slots, np.int64)
+        self.asked[at] += 1
         return self.starts[at], self.lengths[at], self.known
 
-    def encode_all(self, texts) -> list:
-        """ids of each text of an Arrow string column without nulls."""
+    def _forget(self, at_hand: list[bytes]) -> None:
+        """Keep what was asked for most often, half of the memo at most, and the pieces at hand."""
+        import numpy as np
+
+        asked = self.asked[: len(self.slots)]
+        bar = max(2, int(np.partition(asked, len(asked) // 2)[len(asked) // 2]) + 1) if len(asked) else 2
+        stay = asked >= bar
+        stay[[slot for slot in map(self.slots.get, at_hand) if slot is not None]] = True
+        kept = [p for p, there in zip(self.slots, stay.tolist()) if there]
+        lengths = self.lengths[: len(asked)][stay]
+        ids = gathered(self.known, self.starts[: len(asked)][stay], lengths)
+        self.slots, self.used = {}, 0
+        self.asked[:] = 0
+        self._remember(kept, lengths, ids)
+
+    def each(self, texts):
+        """The ids of one text after another of an Arrow string column without nulls."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        out: list = []
         column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         ends = np.cumsum(np.r_[0, pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)])
         at = 0
         while at < len(column):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + STRETCH_BYTES, "right")) - 1)
-            out += self._stretch(column.slice(at, to - at), ends[at : to + 1] - ends[at])
+            yield from self._stretch(column.slice(at, to - at), ends[at : to + 1] - ends[at])
             at = to
-        return out
 
     def _stretch(self, column, ends) -> list:
         import numpy as np
@@ -167,7 +176,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         import pyarrow as pa
 
-        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+        return next(self.each(pa.array([text], pa.string()))).tobytes()
 
 
 def encoder(path: str, width: int = 4, memo_pieces: int = MEMO_PIECES) -> Encoder:

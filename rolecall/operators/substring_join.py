@@ -6,7 +6,8 @@ w + s - 1 <= length: wherever the pattern occurs, one of the text's sampled posi
 first s characters, so the pair is always found. Candidates are then verified on the whole text.
 
 The grams of the patterns are written first, so Spark knows their size: few go to the texts, many meet
-them by gram. Candidates are few beside the texts, which are read once more to verify them.
+them by gram. Candidates are few beside the texts, which are read once more to verify them. Texts that
+lie in fewer files than there are cores are dealt out by id before their grams are cut.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 
 from rolecall.session import stored
 
-CHUNK = 256
-
 
 def _class_shape(length_class: int) -> tuple[int, int]:
     """(width, stride) for patterns of 2^c .. 2^(c+1)-1 characters."""
@@ -31,33 +30,21 @@ def _class_of(length):
 
 
 def _pattern_grams(pattern: str, cls: int) -> Column:
-    """The grams at a pattern's first positions; null for patterns of another class."""
+    """The windows at a pattern's first positions; null for patterns of another class."""
     width, stride = _class_shape(cls)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.lit(stride)),
-        lambda at: F.xxhash64(F.lit(cls), F.substring(F.col(pattern), at, F.lit(width))),
-    )
+    grams = F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda at: F.substring(F.col(pattern), at, F.lit(width)))
     return F.when(F.col("cls") == cls, F.array_distinct(grams))
 
 
 def _text_grams(text: str, cls: int) -> Column:
-    """The grams at every stride-th position, taken from chunks of the text, so that finding a position is cheap.
-
-    A chunk is read with as much of the next ones as its last gram needs.
-    """
+    """The windows at every stride-th position, in one pass of a regular expression that looks ahead."""
     width, stride = _class_shape(cls)
-    chunk = max(CHUNK, stride, width)  # a multiple of the stride, both being powers of two, or one gram long
-    chunk += -chunk % stride
-    chunks = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{chunk}}}"), F.lit(0))
+    return F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}})).{{1,{stride}}}"), F.lit(1))
 
-    def grams(part: Column, at: Column) -> Column:
-        following = F.substring(F.coalesce(F.get(chunks, at + 1), F.lit("")), 1, width - 1)
-        whole = F.array(F.concat(part, following))
-        places = F.sequence(F.lit(1), F.length(part), F.lit(stride))
-        found = F.transform(whole, lambda block: F.transform(places, lambda k: F.xxhash64(F.lit(cls), F.substring(block, k, F.lit(width)))))
-        return found[0]
 
-    return F.flatten(F.transform(chunks, grams))
+def _spread(texts: DataFrame, text_id: str) -> DataFrame:
+    tasks = texts.sparkSession.sparkContext.defaultParallelism
+    return texts if len(texts.inputFiles()) >= tasks else texts.repartition(tasks, text_id)
 
 
 def substring_join(texts: DataFrame, patterns: DataFrame, text_id: str, text: str, pattern: str) -> DataFrame:
@@ -72,10 +59,14 @@ def substring_join(texts: DataFrame, patterns: DataFrame, text_id: str, text: st
     if not classes:
         return in_all
 
-    # A gram's hash includes its class.
-    full = classed.where("cls >= 0")
-    pattern_grams = stored(full.select(pattern, F.explode(F.coalesce(*[_pattern_grams(pattern, c) for c in classes])).alias("gram")), "grams")
-    text_grams = texts.select(text_id, F.explode(F.concat(*[_text_grams(text, c) for c in classes])).alias("gram"))
-    candidates = text_grams.join(pattern_grams, "gram").select(text_id, pattern).distinct()
+    # Grams and patterns go by hash; where hashes meet, the whole text decides.
+    gram = F.xxhash64("cls", "piece").alias("gram")
+    named = stored(classed.where("cls >= 0").withColumn("name", F.xxhash64(pattern)), "patterns")
+    pieces = named.select("name", "cls", F.explode(F.coalesce(*[_pattern_grams(pattern, c) for c in classes])).alias("piece"))
+    pattern_grams = stored(pieces.select("name", gram), "grams")
+    per_class = F.array(*[F.struct(F.lit(c).alias("cls"), _text_grams(text, c).alias("pieces")) for c in classes])
+    cut = _spread(whole, text_id).select(text_id, F.inline(per_class)).select(text_id, "cls", F.explode("pieces").alias("piece"))
+    met = cut.select(text_id, gram).join(pattern_grams, "gram").select(text_id, "name").distinct()
+    candidates = met.join(named.select("name", pattern), "name")
     verified = candidates.join(whole, text_id).where(F.contains(text, F.col(pattern))).select(text_id, pattern)
     return verified.unionByName(in_all) if blank else verified

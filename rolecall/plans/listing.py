@@ -8,7 +8,7 @@ tag names are counted) and else shuffled, and adaptive execution splits skewed p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rolecall.functions.dates import recency_flags
@@ -122,12 +122,20 @@ def count_by_affiliate(store) -> DataFrame:
     )
 
 
-def affiliates_of_listed_parents(by_company: DataFrame, by_affiliate: DataFrame) -> DataFrame:
-    """Affiliate counts with their parent's count; an affiliate whose parent lists nothing is dropped."""
+def affiliates_of_listed_parents(by_company: DataFrame, by_affiliate: DataFrame, observed: Observation | None = None) -> DataFrame:
+    """Affiliate counts with their parent's count; an affiliate whose parent lists nothing is dropped.
+
+    `observed` gets the number of those, `dropped`, and of their postings, `dropped_jobs`, when the result is computed.
+    """
     parents = by_company.select(
         F.col("company_name").alias("parent_company_name"), F.col("job_count").alias("parent_count")
     )
-    return by_affiliate.join(parents, "parent_company_name")
+    beside = by_affiliate.join(parents, "parent_company_name", "left")
+    missing = F.col("parent_count").isNull()
+    if observed is not None:
+        lost = F.coalesce(F.sum(F.when(missing, F.col("job_count"))), F.lit(0)).alias("dropped_jobs")
+        beside = beside.observe(observed, F.count_if(missing).alias("dropped"), lost)
+    return beside.where(~missing)
 
 
 def company_facets(store) -> DataFrame:

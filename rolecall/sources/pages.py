@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rolecall.functions.predicates import is_json_list
 from rolecall.functions.text import script_json
 
 
@@ -31,15 +31,13 @@ def json_items(pages: DataFrame, schema: str, path: str, body: str = "body", kee
 def state_items(pages: DataFrame, item_schema: str, body: str = "body", keep: tuple[str, ...] = ("page",)) -> DataFrame:
     """Elements of all list-valued query states in a page's embedded JSON; columns `at` and `item`.
 
-    A state holds a list or an object, so it is first kept as raw JSON and lists are parsed after.
+    A state holds a list or something else; the page's JSON is parsed once, as a variant, and what is no list gives no rows.
     """
-    outer = (
-        "struct<props:struct<pageProps:struct<dehydratedState:struct<"
-        "queries:array<struct<state:struct<data:string>>>>>>>"
-    )
-    queries = F.from_json(script_json(F.col(body), "__NEXT_DATA__"), outer)["props"]["pageProps"]["dehydratedState"]["queries"]
-    states = pages.select(*keep, F.posexplode(F.transform(queries, lambda q: q["state"]["data"])).alias("state", "raw"))
-    lists = states.where(is_json_list(F.col("raw")))
-    return lists.select(
-        *keep, "state", F.posexplode(F.from_json("raw", f"array<{item_schema}>")).alias("at", "item")
-    )
+    whole = F.try_parse_json(script_json(F.col(body), "__NEXT_DATA__"))
+    queries = F.try_variant_get(whole, "$.props.pageProps.dehydratedState.queries", "array<variant>")
+    states = pages.select(*keep, F.posexplode(queries).alias("state", "query"))
+    lists = states.select(*keep, "state", F.posexplode(F.try_variant_get("query", "$.state.data", "array<variant>")).alias("at", "raw"))
+    # field by field, so that one of another type is null and the others stay
+    fields = T.StructType.fromDDL(item_schema).fields
+    item = F.struct(*[F.try_variant_get("raw", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
+    return lists.select(*keep, "state", "at", item.alias("item"))

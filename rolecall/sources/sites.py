@@ -32,10 +32,7 @@ ITEM_SCHEMAS = {
     ),
     "hpcnt": ("data struct<allLever:struct<nodes:array<struct<lever_id:string,text:string>>>>", "data.allLever.nodes"),
 }
-STATE_ITEM = (
-    "struct<openingId:string,title:string,"
-    "openingJobPosition:struct<openingJobPositionSetting:struct<createdAt:string>>>"
-)
+STATE_ITEM = "openingId string, title string, openingJobPosition struct<openingJobPositionSetting:struct<createdAt:string>>"
 CARDS = {"coupang": ("div", "card-job"), "daangn": ("li", "c-deAcZv"), "line": ("li", None)}
 
 
