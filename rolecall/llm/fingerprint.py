@@ -17,6 +17,7 @@ repeat an id are documents of their own; an empty table gives no rows; other col
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -58,41 +59,62 @@ class Cuts(dict):
         return cut
 
 
-def passages(text: bytes, cuts: Cuts, short: bool = False) -> list[bytes]:
-    """Passages in order: ended by line and sentence ends, by words that say so and after MOST_WORDS words; in short texts by every word.
+def passages(sentence: bytes, cuts: Cuts, short: bool = False) -> list[bytes]:
+    """Passages of a sentence in order: ended by words that say so and after MOST_WORDS words; in short texts by every word.
 
     Words that are long for a text are pieces of PIECE bytes (4 in short texts), each a passage.
     """
     out = []
     piece, most = (4, 4) if short else (PIECE, 4 * PIECE)
-    for sentence in SENTENCE.findall(text):
-        words = sentence.split()
-        a = 0
-        for b, (word, cut) in enumerate(zip(words, map(cuts.__getitem__, words)), 1):
-            if len(word) > most:
-                out += [b" ".join(words[a : b - 1])] * (b - 1 > a)
-                out += [word[k : k + piece] for k in range(0, len(word), piece)]
-                a = b
-            elif cut or short or b - a == MOST_WORDS:
-                out.append(b" ".join(words[a:b]))
-                a = b
-        if a < len(words):
-            out.append(b" ".join(words[a:]))
+    words = sentence.split()
+    a = 0
+    for b, (word, cut) in enumerate(zip(words, map(cuts.__getitem__, words)), 1):
+        if len(word) > most:
+            out += [b" ".join(words[a : b - 1])] * (b - 1 > a)
+            out += [word[k : k + piece] for k in range(0, len(word), piece)]
+            a = b
+        elif cut or short or b - a == MOST_WORDS:
+            out.append(b" ".join(words[a:b]))
+            a = b
+    if a < len(words):
+        out.append(b" ".join(words[a:]))
     return out
 
 
-def digests(text: str, cuts: Cuts) -> np.ndarray:
-    """64-bit digests of a text's passages, all different: a repeated passage counts its repeats in."""
-    from xxhash import xxh64_intdigest
+class Cut:
+    """A text's passages as hashes in order, and where each sentence begins: in the text's bytes and among the passages."""
+
+    def __init__(self, text: str, cuts: Cuts, of: "Cut | None" = None, kept: int = 0):
+        """`of` is a text that begins with the same `kept` code points; what their whole sentences gave is taken from it."""
+        from xxhash import xxh64_intdigest
+
+        self.short = len(text) < SHORT
+        raw = text.encode("utf-8", "surrogatepass")
+        self.hashes, self.starts, self.before, begin = [], [], [], 0
+        if of is not None and of.short == self.short:
+            # the last sentence that begins in the kept part may go on otherwise; those before it end there
+            whole = bisect_left(of.starts, len(text[:kept].encode("utf-8", "surrogatepass"))) - 1
+            if whole > 0:
+                begin = of.starts[whole]
+                self.hashes = of.hashes[: of.before[whole]]
+        for m in SENTENCE.finditer(raw, begin):
+            self.starts.append(m.start())
+            self.before.append(len(self.hashes))
+            self.hashes += map(xxh64_intdigest, passages(m.group(), cuts, self.short))
+
+    def digests(self) -> np.ndarray:
+        """64-bit digests of the passages, all different: a repeated passage counts its repeats in."""
+        raw = np.array(self.hashes, np.uint64)
+        raw.sort()
+        if len(raw):
+            first = np.flatnonzero(np.r_[True, raw[1:] != raw[:-1]])
+            repeat = np.arange(len(raw)) - np.repeat(first, np.diff(np.r_[first, len(raw)]))
+            raw = mix64(raw + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return raw
+
 
-    parts = passages(text.encode("utf-8", "surrogatepass"), cuts, len(text) < SHORT)
-    raw = np.array([xxh64_intdigest(p) for p in parts], np.uint64)
-    raw.sort()
-    if len(raw):
-        first = np.flatnonzero(np.r_[True, raw[1:] != raw[:-1]])
-        repeat = np.arange(len(raw)) - np.repeat(first, np.diff(np.r_[first, len(raw)]))
-        raw = mix64(raw + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return raw
+def digests(text: str, cuts: Cuts) -> np.ndarray:
+    return Cut(text, cuts).digests()
 
 
 def cells_of(values: np.ndarray, cells: int) -> np.ndarray:
@@ -221,10 +243,11 @@ def versions(docs: DataFrame) -> DataFrame:
 
         def rows():
             # held: (doc_id, text) of SLICE documents and the one that follows them
-            sets = [digests(t, cuts) for _, t in held]
+            parted = [Cut(t, cuts) for _, t in held]
+            sets = [c.digests() for c in parted]
             base = sketches(sets, CELLS)
             new = [edited(t, following) for (_, t), (_, following) in zip(held, held[1:])]
-            new_sets = [digests(t, cuts) for t in new]
+            new_sets = [Cut(t, cuts, own, len(old) - len(old) // 4).digests() for t, own, (_, old) in zip(new, parted, held)]
             new_base = sketches(new_sets, CELLS)
             own, own_base = sets[:-1], base[:-1]
             columns = [

@@ -125,6 +125,19 @@ def test_ranges_hand_their_first_document_to_the_range_before(docs_of, monkeypat
     assert sorted(map(tuple, fingerprint.versions(docs).collect())) == one
 
 
+def test_what_an_edit_keeps_is_cut_as_in_the_whole():
+    rng, cuts, reused = random.Random(6), fingerprint.Cuts(), 0
+    for _ in range(400):
+        pick = lambda n: "".join(rng.choice(["word", "é", "a", "Long" * 30, " ", " ", " ", ".", "!", "?!", "\n", "..."]) for _ in range(n))
+        old, following = pick(rng.choice([3, 40, 200])), pick(rng.choice([0, 30, 200]))
+        new = fingerprint.edited(old, following)
+        own = fingerprint.Cut(old, cuts)
+        part = fingerprint.Cut(new, cuts, own, len(old) - len(old) // 4)
+        assert part.digests().tolist() == fingerprint.digests(new, cuts).tolist()
+        reused += len(part.starts) < len(fingerprint.Cut(new, cuts).starts)
+    assert reused > 100
+
+
 def test_fingerprints_of_odd_and_empty_tables(odd_docs, docs_of):
     got = fingerprint.versions(odd_docs).collect()
     assert len(got) == 12 and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in got)
