@@ -32,10 +32,10 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, classes: list) -> DataFrame:
     """(doc_id, label, weight, text) of at most `per_class` labelled rows of each class that are not held out.
 
-    Rows are picked by the order of a hash of their id; `weight` restores each class's share of all labelled rows.
-    A document that is there twice counts once.
+    Rows are picked by the order of a hash of their id; `weight` restores each class's share of all labelled documents.
+    A document counts once: with the smallest of its labels and the first of its texts in order, so that runs agree.
     """
-    usable = labels.select("doc_id", F.col(label).alias("label")).where(~held_out()).dropna()
+    usable = labels.select("doc_id", F.col(label).alias("label")).where(~held_out()).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in usable.where(F.col("label").isin(classes)).groupBy("label").count().collect()}
     total = sum(counts.values())
     parts = [
@@ -46,9 +46,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = parts[0]
     for part in parts[1:]:
         picked = picked.union(part)
-    picked = picked.dropDuplicates(["doc_id"])
     # at most per_class * len(classes) ids are sent to the executors
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
 
 
 def process_memo(name: str, make):

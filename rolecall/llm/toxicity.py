@@ -23,8 +23,9 @@ from rolecall.llm.common import held_out, labelled_sample, stored
 WIDTH, GRAMS = 8, (3, 4, 5)  # of an embedding; of n-grams. Buckets are 32-bit hashes
 #: Labelled rows of a class that are learnt from, at most.
 PER_CLASS = 1000
-#: How far apart the classes must be in a bucket of the vocabulary, in standard errors.
-TELLING = 6.0
+#: How far apart the classes must be in a bucket of the vocabulary, in standard errors; with few labelled rows, this share of
+#: the most that there can be, the square root of their number.
+TELLING, TELLING_SHARE = 6.0, 0.5
 STEPS, RATE = 200, 0.05
 MEMO_WORDS = 500_000
 #: Stripped from the ends of words.
@@ -85,7 +86,7 @@ class Adam:
 
 
 def vocabulary(sample: DataFrame, n1: int, n0: int, telling: float = TELLING) -> list[int]:
-    """The buckets that are in more of the texts of label 1 than of the others, by `telling` standard errors; ascending.
+    """The buckets that are in more of the texts of label 1 than of the others, by `telling` standard errors (fewer with few texts); ascending.
 
     Counted on the executors; only these buckets come to the driver.
     """
@@ -97,6 +98,7 @@ def vocabulary(sample: DataFrame, n1: int, n0: int, telling: float = TELLING) ->
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), label.as_py(), np.int32))], names=["bucket", "label"])
 
     held = sample.select("text", "label").mapInArrow(run, "bucket long, label int").groupBy("bucket").agg(F.sum("label").alias("in1"), F.count("*").alias("n"))
+    telling = min(telling, TELLING_SHARE * (n1 + n0) ** 0.5)
     p = F.col("n") / (n1 + n0)
     apart = F.col("in1") / n1 - (F.col("n") - F.col("in1")) / n0
     return sorted(r.bucket for r in held.where(apart > telling * F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) + 1e-12).select("bucket").collect())

@@ -47,6 +47,37 @@ def test_toxic_words_and_their_misspellings_are_found(made, docs_of):
     assert score[2] > 0.5 and score[3] > 0.5 and score[1] < 0.5 and score[4] == score[5] == score[6] < 0.5
 
 
+def test_few_labelled_rows_tell_the_classes_apart(docs_of, labels_of):
+    rows = [(k, " ".join(random.Random(k).choices(WORDS, k=30) + (["gorbag", "wretchling", "snivelhead"] if k % 2 else [])), int(k % 2)) for k in range(39)]
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs_of([(k, t) for k, t, _ in rows]), labels_of([(k, 1, x) for k, _, x in rows])).collect()}
+    assert got == {k: x for k, _, x in rows}
+
+
+def test_a_sample_is_the_same_in_every_run(docs_of, labels_of):
+    docs = docs_of([(k % 50, f"text {k} {'b' * (k % 7)}") for k in range(150)])
+    labels = labels_of([(k % 50, 1, (k // 50) % 2) for k in range(150)])
+    runs = [sorted(map(tuple, labelled_sample(docs.repartition(n), labels.repartition(n), "toxic", 12, [0, 1]).select("doc_id", "label", "text").collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and {r[1] for r in runs[0]} == {0} and len({r[0] for r in runs[0]}) == len(runs[0])
+
+
+def test_scores_and_products_equal_plain_ones(made, docs_of):
+    docs, labels, rows = made
+    logit, intercept = toxicity.fit(docs, labels)
+    texts = [t for _, t, _, _ in rows[:60]] + ["", "gorbag gorbag", "no known word"]
+    got = {r[0]: r[1] for r in docs_of(list(enumerate(texts))).select("doc_id", toxicity.score("text", (logit, intercept))).collect()}
+    for k, text in enumerate(texts):
+        values = [logit[g] for word in text.lower().split() for g in toxicity.grams(word) if g in logit]
+        assert abs(got[k] - 1 / (1 + np.exp(-(np.mean(values or [0.0]) + intercept)))) < 1e-9
+    rng = np.random.default_rng(4)
+    sizes = np.array([3, 0, 2, 4])
+    at, weight = rng.integers(0, 6, 9), rng.random(9).astype(np.float32)
+    bags, dense = toxicity.Bags(at, weight, sizes), np.zeros((4, 6))
+    np.add.at(dense, (np.repeat(np.arange(4), sizes), at), weight)
+    table, error = rng.random((6, 3)).astype(np.float32), rng.random((4, 3)).astype(np.float32)
+    assert np.allclose(bags.times(table), dense @ table, atol=1e-5)
+    assert np.allclose(bags.transposed_times(error), (dense.T @ error)[bags.used], atol=1e-5)
+
+
 def test_toxic_documents_go_with_their_columns_kept(made):
     docs, labels, rows = made
     kept = toxicity.without_toxic(docs, labels)
