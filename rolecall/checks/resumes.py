@@ -117,11 +117,12 @@ def streamed_answers(fx: Fixtures):
     turns = fx.table("conversations")
     lengths = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     rows = turns.join(lengths, "conv_id").select(
-        "conv_id", F.col("turn").alias("seq"), F.when(F.col("role") != "system", F.col("text")).alias("text"), (F.col("turn") == F.col("last")).alias("is_end")
+        "conv_id", F.col("turn").alias("seq"), F.when(F.col("role") != "system", F.col("text")).alias("text"), (F.col("turn") == F.col("last")).alias("is_end"),
+        F.timestamp_seconds(F.lit(1_000_000_000) + F.col("conv_id") % 1000).alias("at"),
     )
     landing = chunks.land(rows.union(rows.where("(conv_id + seq) % 3 = 0")), 4, 7)
     out, progress = (scratch_path(fx.spark, n) for n in ("answers", "progress"))
-    whole = chunks.assemble_available(fx.spark, landing, "conv_id long, seq long, text string, is_end boolean", "conv_id", out, progress)
+    whole = chunks.assemble_available(fx.spark, landing, "conv_id long, seq long, text string, is_end boolean, at timestamp", "conv_id", out, progress)
     return whole.select("conv_id", F.col("text").alias("summary"), "chunks")
 
 

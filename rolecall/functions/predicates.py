@@ -30,9 +30,21 @@ def engineering_card(tag_text: Column) -> Column:
     return has(tag_text, "Engineering") & ~has(tag_text, "Taipei")
 
 
+def json_shape(text: Column) -> Column:
+    """What a text of JSON is: list, object, scalar or null; broken where it is none. Null for a missing text."""
+    value = F.try_parse_json(text)
+    shape = (
+        F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), "list")
+        .when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "object")
+        .when(F.is_variant_null(value), "null")
+        .otherwise("scalar")
+    )
+    return F.when(text.isNotNull(), F.when(value.isNull(), "broken").otherwise(shape))
+
+
 def is_json_list(raw: Column) -> Column:
-    """True for a JSON list with something in it; objects, empty lists and nulls are skipped."""
-    return F.coalesce(raw.rlike(r"(?s)^\s*\[\s*[^\s\]]"), F.lit(False))
+    """True for a JSON list with something in it; objects, empty lists, broken texts and nulls are skipped."""
+    return F.coalesce(F.size(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")) > 0, F.lit(False))
 
 
 def nothing_extracted(team_info: Column, *lists: Column) -> Column:

@@ -1,7 +1,8 @@
 """Streamed answers: chunks put together by state until the end marker has come and nothing is missing.
 
 Chunks of an answer may come late, out of order and more than once. State holds an answer's chunks until it is whole; then
-it gives one row and keeps a mark that it is done, until a time after which no repeated chunk is expected.
+it gives one row and keeps a mark that it is done, until the watermark has passed and no repeated chunk can come. An answer
+that stays without an end for as long is given up.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rolecall.session import scratch_path
 
 STATE = "seqs array<long>, texts array<string>, end long, done boolean"
-#: How long a finished answer is remembered.
-REMEMBERED_MS = 3_600_000
+#: How much later than others a chunk may come.
+LATE_MS = 3_600_000
 
 
-def assembled(chunks: DataFrame, key: str, remembered_ms: int = REMEMBERED_MS) -> DataFrame:
-    """(key, text, chunks) of each answer of a stream (key long, seq long, text string, is_end boolean), once, when it is whole.
+def assembled(chunks: DataFrame, key: str, late_ms: int = LATE_MS) -> DataFrame:
+    """(key, text, chunks) of each answer of a stream (key, seq long, text string, is_end boolean, at timestamp), once, when it is whole.
 
     Chunks are numbered from 0; the one that ends an answer adds its text as well, if it has any.
     """
@@ -31,8 +32,9 @@ def assembled(chunks: DataFrame, key: str, remembered_ms: int = REMEMBERED_MS) -
             state.remove()
             return
         seqs, texts, end, done = state.get if state.exists else ([], [], None, False)
-        held = dict(zip(seqs, texts))
+        held, last = dict(zip(seqs, texts)), state.getCurrentWatermarkMs()
         for part in parts:
+            last = max(last, int(part["at"].max().timestamp() * 1000))
             if done:
                 continue
             for seq, text, is_end in zip(part["seq"], part["text"], part["is_end"]):
@@ -43,12 +45,11 @@ def assembled(chunks: DataFrame, key: str, remembered_ms: int = REMEMBERED_MS) -
             yield pd.DataFrame({key: [name[0]], "text": ["".join(held[k] for k in range(end + 1))], "chunks": [end + 1]})
             held, done = {}, True
         state.update((list(held), list(held.values()), end, done))
-        if done:
-            state.setTimeoutDuration(remembered_ms)
+        state.setTimeoutTimestamp(last + late_ms + 1)
 
     kind = dict(chunks.dtypes)[key]
-    rows = chunks.select(key, "seq", "text", "is_end").groupBy(key)
-    return rows.applyInPandasWithState(put_together, f"{key} {kind}, text string, chunks long", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = chunks.select(key, "seq", "text", "is_end", "at").withWatermark("at", f"{late_ms} milliseconds").groupBy(key)
+    return rows.applyInPandasWithState(put_together, f"{key} {kind}, text string, chunks long", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assemble_available(spark: SparkSession, landing: str, schema: str, key: str, out: str, progress: str, files_per_batch: int = 1) -> DataFrame:

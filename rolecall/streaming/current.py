@@ -68,7 +68,7 @@ def switch_off(batch: DataFrame, root: str, stream: str, number: int) -> None:
     links = batch.select("link").distinct().withColumn("off", F.lit(True))
     touched = {r[0] for r in links.select(bucket_of(F.col("link"), buckets)).distinct().collect()}
     jobs = read_table(spark, root, "job_info", {b: p for b, p in paths.get("job_info", {}).items() if b in touched})
-    off = jobs.join(links, "link", "left").withColumn("is_active", F.when("off", F.lit(False)).otherwise(F.col("is_active")))
+    off = jobs.join(links, "link", "left").withColumn("is_active", F.when(F.col("off"), F.lit(False)).otherwise(F.col("is_active")))
     paths["job_info"] = paths.get("job_info", {}) | write_table(off.select(jobs.columns), root, "job_info", version, buckets)
     publish(spark, root, version, paths, buckets, stream, number)
 

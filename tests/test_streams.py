@@ -65,13 +65,13 @@ def test_a_posting_not_seen_for_a_day_goes_off_and_stays_off(spark, tmp_path):
     assert read_store(spark, root).job_info.count() == 3
 
 
-SCHEMA = "conv long, seq long, text string, is_end boolean"
+SCHEMA = "conv long, seq long, text string, is_end boolean, at timestamp"
 
 
 def test_streamed_answers_come_once_and_whole(spark, tmp_path):
     answers = {k: [f"<{k}.{i}>" for i in range(1 + k % 5)] for k in range(40)}
-    rows = [(k, i, text, i == len(parts) - 1) for k, parts in answers.items() for i, text in enumerate(parts)]
-    rows.append((100, 0, "no end", False))
+    rows = [(k, i, text, i == len(parts) - 1, DAY0) for k, parts in answers.items() for i, text in enumerate(parts)]
+    rows.append((100, 0, "no end", False, DAY0))
     landing, out, progress = str(tmp_path / "landing"), str(tmp_path / "out"), str(tmp_path / "progress")
     missing = [r for r in rows if (r[0], r[1]) == (9, 2)]
     write = lambda part, seed: spark.createDataFrame(part, SCHEMA).repartition(3, F.xxhash64(F.lit(seed), "conv", "seq")).write.mode("append").json(landing)
