@@ -25,7 +25,7 @@ BUCKETS = 1 << 16
 #: Labelled rows of a grade that are learnt from, at most.
 PER_GRADE = 1500
 STEPS, RATE, DECAY = 150, 0.05, 1e-4
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 #: Grades from this one on are the upper tail; a text is selected if its tail probability reaches SELECT.
 TAIL_GRADE, SELECT = 1, 0.5
 SCALE = 30.0

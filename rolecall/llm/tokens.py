@@ -11,7 +11,7 @@ import re
 from rolecall.llm.common import process_memo
 
 #: Pieces that a worker remembers, some 200 bytes each, beside those of the texts it is at.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 #: Bytes of text that are put together at a time.
 STRETCH_BYTES = 4 << 20
 

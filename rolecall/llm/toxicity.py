@@ -27,7 +27,7 @@ PER_CLASS = 1000
 #: the most that there can be, the square root of their number.
 TELLING, TELLING_SHARE = 6.0, 0.5
 STEPS, RATE = 200, 0.05
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 #: Stripped from the ends of words.
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
