@@ -16,17 +16,32 @@ MEMO_PIECES = 200_000
 STRETCH_BYTES = 4 << 20
 
 
+#: Bits of a byte's kind: may end white space, may begin white space (beyond ASCII any byte may end it, few may begin it),
+#: is white space, is an ASCII letter, is one of the marks that stand after words.
+ENDS, BEGINS, WHITE, LETTER, MARK = 1, 2, 4, 8, 16
+
+
 def _kinds():
-    """Of each byte: may it end (1), or begin (2) white space? Beyond ASCII any byte may end it, few may begin it."""
     import numpy as np
 
     out = np.zeros(256, np.uint8)
-    out[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 3
-    out[128:] |= 1
-    out[[0xC2, 0xE1, 0xE2, 0xE3]] |= 2
+    out[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = ENDS | BEGINS | WHITE
+    out[128:] |= ENDS
+    out[[0xC2, 0xE1, 0xE2, 0xE3]] |= BEGINS
+    for letter in range(ord("A"), ord("Z") + 1):
+        out[[letter, letter + 32]] = LETTER
+    out[list(b",.;:!?")] = MARK
     return out
 
 
+def cuts_words(tokenizer) -> bool:
+    """Whether a tokenizer cuts text by the rule of byte-level BPE, which keeps marks and single line ends apart from words."""
+    import json
+
+    before = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+
+
 def gathered(values, starts, lengths):
     """values[start : start + length] of each, one after another."""
     import numpy as np
@@ -47,7 +62,7 @@ class Encoder:
         self.kind = np.dtype(f"<u{width}")
         if self.tokenizer.get_vocab_size() > 256**width:
             raise ValueError(f"{width} bytes do not hold the ids of {path}")
-        self.memo_pieces, self.white = memo_pieces, _kinds()
+        self.memo_pieces, self.kinds, self.fine = memo_pieces, _kinds(), cuts_words(self.tokenizer)
         self.unsafe = re.compile(r"(?<!\S) (?!\S)")
         # tokens that begin with a space, as the vocabulary writes it
         self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
@@ -70,9 +85,9 @@ class Encoder:
         plain = [k for k, t in enumerate(texts) if t[:1] == " " and t.split() == [t[1:]]]
         rest = sorted(set(range(len(texts))) - set(plain))
         order, lengths, ids = [], [np.zeros(0, np.int32)], [np.zeros(0, self.kind)]
-        for lo in range(0, len(plain), 1000):
-            part = plain[lo : lo + 1000]
-            together = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in part])], add_special_tokens=False)[0].ids)
+        parts = [plain[lo : lo + 1000] for lo in range(0, len(plain), 1000)]
+        for part, one in zip(parts, self.tokenizer.encode_batch_fast(["".join([texts[k] for k in part]) for part in parts], add_special_tokens=False)):
+            together = np.array(one.ids)
             starts = np.flatnonzero(self.opens[together])
             if len(starts) != len(part):
                 rest += part
@@ -152,13 +167,20 @@ class Encoder:
         # pieces begin with a space or with a text
         begins = data == 32
         spaces = np.flatnonzero(begins)
-        full = ends[:-1][np.diff(ends) > 0]
-        around = np.r_[np.uint8(3), self.white[data], np.uint8(3)] if len(data) else np.zeros(2, np.uint8)
-        before, after = around[spaces], around[spaces + 2]
         opening, closing = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
         opening[ends], closing[ends] = True, True
-        doubtful = spaces[(((before & 1) > 0) | opening[spaces]) & (((after & 2) > 0) | closing[spaces + 1])]
-        begins[full] = True
+        kinds = self.kinds[data]
+        beside = lambda at, step: kinds[np.clip(at + step, 0, max(0, len(data) - 1))]
+        after_white, before_white = (beside(spaces, -1) & ENDS) > 0, (beside(spaces, 1) & BEGINS) > 0
+        doubtful = spaces[(after_white | opening[spaces]) & (before_white | closing[spaces + 1])]
+        if self.fine:
+            # a mark after a letter and before white space, and a line end between words, are pieces as well
+            marks = np.flatnonzero(kinds == MARK)
+            marks = marks[(beside(marks, -1) == LETTER) & ~opening[marks] & (((beside(marks, 1) & WHITE) > 0) | closing[marks + 1])]
+            lines = np.flatnonzero(data == 10)
+            lines = lines[((beside(lines, -1) & ENDS) == 0) & ((beside(lines, 1) & BEGINS) == 0) & ~opening[lines] & ~closing[lines + 1]]
+            begins[marks], begins[lines], begins[lines + 1] = True, True, True
+        begins[ends[:-1][np.diff(ends) > 0]] = True
         cuts = np.flatnonzero(begins)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.r_[cuts, len(data)].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         which = pieces.indices.to_numpy()

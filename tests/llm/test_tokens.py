@@ -13,6 +13,7 @@ from rolecall.session import scratch_path
 ODD = [
     "", " ", "  ", "a  b", "a   b", " a", "a ", "a \n b", "a\n b", "a\n\n  b\t c", "x  y", "x  y", "don't we'll  'tis", "<|endoftext|> in text",
     "é ☃ 漢字 かな 🙂", "w" * 300 + " " + "v" * 60 + " end", "\r\n tab\there", "1234 56.78, 9",
+    "one, two.\nthree!\n\nfour?\n five;\u00a0six:\u2014 a.\u2014 b.é c,\u3000d", "end.", ".start", "a.\n", "\na", "it's, 'll. x.'s", "a,,b, c.. d",
 ]
 
 
@@ -27,7 +28,7 @@ def plain():
 
 def random_texts(n=120):
     rng = random.Random(4)
-    return ["".join(rng.choice([" ", " ", "  ", "\n", "ab", "Cd", "'s", "9", ".", "é", "\t", " "]) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+    return ["".join(rng.choice([" ", " ", "  ", "\n", "\n", "ab", "Cd", "'s", "9", ".", ",", "!", "é", "\t", "\u00a0", "\u2014"]) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
 def test_piecewise_ids_equal_those_of_the_whole_text(plain):
