@@ -31,7 +31,7 @@ from rolecall.llm.common import stored
 MIN_PAGES, THRESHOLD = 8, 0.15
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template head title iframe object svg canvas audio video select option datalist math map".split())
+UNSEEN = set("script style noscript template head title iframe object svg canvas audio video select option datalist map".split())
 NOISE_TAGS = set("nav header footer aside form button dialog menu textarea fieldset label input".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Whole class names and ids; those that content may have as well (header, promotion, widget) are left to the style tree.

@@ -14,6 +14,10 @@ def text_of(html, templates=frozenset()):
     return html_text.main_text(html_text.Page(html), templates)
 
 
+def test_formulas_are_text():
+    assert text_of("<article><p>Energy <math><mi>E</mi> = <mi>m</mi></math> holds</p></article>") == "Energy E = m holds"
+
+
 def test_main_text_of_a_page():
     html = """<!doctype html><html><head><title>t</title><style>p{}</style><script>var x="</p><p>no";</script></head><body>
     <header><h1>Site</h1></header><nav><ul><li><a>Menu</a></li></ul></nav><div class="ad-box ad">Buy</div>
