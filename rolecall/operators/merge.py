@@ -40,12 +40,17 @@ def number_rows(new: DataFrame, key: str, existing: DataFrame, id_col: str = "id
     )
 
 
+def missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `incoming` whose key is not there yet."""
+    return incoming.join(existing.select(*keys), keys, "left_anti")
+
+
 def get_or_create(existing: DataFrame, incoming: DataFrame, key: str = "name") -> DataFrame:
     """Existing rows plus a numbered row for every incoming name they lack.
 
     `incoming` has one row per name (see `first_values`); an existing row keeps its own columns.
     """
-    new = incoming.join(existing.select(key), key, "left_anti").select(*[c for c in existing.columns if c != "id"])
+    new = missing(existing, incoming, [key]).select(*[c for c in existing.columns if c != "id"])
     return existing.unionByName(number_rows(new, key, existing))
 
 
@@ -57,8 +62,7 @@ def first_values(rows: DataFrame, key: str, seq: str, *columns: str) -> DataFram
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Append the rows whose key is not there yet; nothing is ever removed."""
-    new = incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(new)
+    return existing.unionByName(missing(existing, incoming.dropDuplicates(keys), keys))
 
 
 def upsert(
