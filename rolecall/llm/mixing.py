@@ -75,12 +75,13 @@ def copies(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int =
     blocks_of = F.ceil(F.col("n_docs") / F.lit(float(BLOCK_ROWS)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     placed = placed.withColumns({"class": size_class(F.col("size")), "block": F.floor(fraction(F.lit("d:"), name) * blocks_of).cast("long")})
-    block = ["source", "class", "block"]
+    # a key without nulls: rows then lie for the join as they lie for their ranks, and move once
+    placed = placed.withColumn("key", F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("null")))
+    block = ["key", "class", "block"]
     counts = placed.groupBy(*block).agg(F.count("*").alias("n"))
-    in_line = Window.partitionBy("source").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(in_line), F.lit(0))).select(*[F.col(c).alias(f"{c}_of") for c in block], "before")
-    same = F.col("source").eqNullSafe(F.col("source_of")) & (F.col("class") == F.col("class_of")) & (F.col("block") == F.col("block_of"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*block).orderBy("size", "doc_id"))).join(counts, same)
+    in_line = Window.partitionBy("key").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    counts = counts.select(*block, F.coalesce(F.sum("n").over(in_line), F.lit(0)).alias("before"))
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*block).orderBy("size", "doc_id"))).join(counts, block)
     place = F.col("before") + F.col("rank")
     line = lambda n: F.floor(n * F.col("rate") + F.col("shift"))
     made = F.greatest(F.lit(0), F.least(line(place) - line(place - 1), F.lit(most))).cast("long")
