@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from rolecall.llm.tokens import MEMO_PIECES, encoder
 
 CAPACITY, MAX_SEGMENTS, MAX_LOSS = 1024, 64, 1024
-#: Rests that wait in a task.
-BUFFER = 512
+#: Rests that wait in a task, and rows that it hands on at a time.
+BUFFER, ROWS = 512, 1000
 
 SCHEMA = "doc_id long, start long, length long, loss_tokens long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -154,12 +154,13 @@ def pack(
             return made
 
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # what earlier batches and tasks of this worker took
             fronts = encode.each(batch.column("_prompt")) if prompt else itertools.repeat(end[:0])
             for name, own, front in zip(batch.column("doc_id").to_pylist(), encode.each(batch.column("text")), fronts):
                 ids = np.concatenate([front, own, end])
                 packer.add((name, ids, len(front), len(ids)))
                 emit(packer.sequences())
-                if len(rows) >= 5000:
+                if len(rows) >= ROWS:
                     yield batch_of()
         emit(packer.sequences(final=True))
         if rows:

@@ -13,7 +13,7 @@ from rolecall.llm.common import process_memo
 #: Pieces that a worker remembers, some 200 bytes each, beside those of the texts it is at.
 MEMO_PIECES = 200_000
 #: Bytes of text that are put together at a time.
-STRETCH_BYTES = 4 << 20
+STRETCH_BYTES = 1 << 20
 
 
 #: Bits of a byte's kind: may end white space, may begin white space (beyond ASCII any byte may end it, few may begin it),
@@ -36,10 +36,8 @@ def _kinds():
 
 def cuts_words(tokenizer) -> bool:
     """Whether a tokenizer cuts text by the rule of byte-level BPE, which keeps marks and single line ends apart from words."""
-    import json
-
-    before = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
-    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    before = tokenizer.pre_tokenizer
+    return type(before).__name__ == "ByteLevel" and getattr(before, "use_regex", False) and not getattr(before, "add_prefix_space", True)
 
 
 def gathered(values, starts, lengths):
