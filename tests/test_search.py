@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rolecall.checks import vectors
 from rolecall.functions.vectors import cosine_similarity, mean_vector
 from rolecall.operators import graph, knn, quantised
+from rolecall.operators import substring_join as substrings
 from rolecall.operators.model_batch import call_model, embed_sentences, split_good_failed
 from rolecall.operators.sentences import mean_vectors
 from rolecall.operators.substring_join import substring_join
@@ -191,6 +192,24 @@ def test_long_patterns_at_every_offset(spark):
     assert {tuple(r) for r in substring_join(left, right, "id", "t", "p").collect()} == want
 
 
+def test_texts_hand_on_only_windows_that_a_pattern_may_start_with(spark, monkeypatch):
+    """Long texts in pieces, text of several bytes a letter, patterns of every length up to several slices."""
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 100)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aé한😀 b"), n)) for n in (0, 1, 40, 90, 1500, 3000)] + ["zz" * 700, None]
+    patterns = sorted({t[i : i + n] for t in texts if t for n in (*range(1, 20), 23, 24, 25, 47, 48, 49, 64, 300, 400) for i in rng.integers(0, max(1, len(t) - n), 2)} | {"absent", "q" * 500})
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    right = spark.createDataFrame([(p,) for p in patterns] + [(None,)], "p string")
+    want = {(i, p) for i, t in enumerate(texts) if t is not None for p in patterns if p in t}
+    assert {tuple(r) for r in substring_join(left, right, "id", "t", "p").collect()} == want
+
+    few = spark.createDataFrame([("zzzz", 4), ("q" * 500, 384)], "p string, width int")
+    marks = substrings._bitmap(substrings._pattern_windows(few, "p"), substrings.LEAST_BITS)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 1 << 20)
+    handed_on = substrings._text_windows(left.where("t IS NOT NULL"), "id", "t", [4, 384], marks)
+    assert [r.id for r in handed_on.collect()] == [6]  # one row, of some 9,000 positions
+
+
 def test_probes_count_at_every_size(spark):
     rng = np.random.default_rng(3)
     items = frame(spark, rng.normal(size=(400, 12)), "job_id")
