@@ -2,12 +2,11 @@
 
 The exact search bounds every similarity by quantised vectors and takes exact products of what the bounds leave
 (`quantised`). For the approximate one, items are grouped into cells around centroids, and a query searches its nearest
-cells only; `graph` has an index that is kept.
+cells only, in the same way; `graph` has an index that is kept.
 
-A cell is searched in blocks of bounded size: both sides are spread over sub-blocks by a hash of their
-id, so neither a cell holding a third of all items nor one that every query visits becomes one big
-task. A block multiplies two matrices and hands on at most k rows per query; pairs are never emitted.
-Vectors travel as stored (float32) and are compared in double.
+Items lie by cell, a large cell over several tasks, and do not move; queries come to them in broadcast chunks with the cells
+they visit. Pairs that the bounds rule out are never emitted. Of items with one and the same vector the k first are enough,
+so copies make no more pairs than that. Vectors travel as stored (float32) and are compared in double.
 """
 
 from __future__ import annotations
@@ -25,10 +24,10 @@ from pyspark.sql import functions as F
 from rolecall.functions.text import computed_once
 from rolecall.functions.vectors import cosine_distance
 from rolecall.operators.quantised import candidates, quantised, scored
-from rolecall.session import materialise, stored
+from rolecall.session import stored
 
-QUERY_BLOCK = 1024
-ITEM_BLOCK = 8192
+#: Queries and items of a cell that are compared at a time.
+QUERY_BLOCK, ITEM_BLOCK = 512, 4096
 CELL_ROWS = 65536
 LEAST_CELLS = 8
 TIE_DIGITS = 9
@@ -84,55 +83,13 @@ def _nearest_cells(queries: DataFrame, centroids: np.ndarray, probes: int) -> Da
         order = np.argsort(_distances(_matrix(v), centroids), axis=1, kind="stable")[:, :probes]
         return pd.Series(list(order.astype("int32")))
 
-    return queries.withColumn("cell", F.explode(probe("v")))
+    return queries.withColumn("cells", probe("v"))
 
 
-def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by (similarity, id); ties are settled after rounding."""
-    rounded = np.round(similarity, TIE_DIGITS)
-    if len(rounded) > k:
-        bar = np.partition(rounded, len(rounded) - k)[len(rounded) - k]
-        near = np.flatnonzero(rounded >= bar)
-    else:
-        near = np.arange(len(rounded))
-    return near[np.lexsort((ids[near], -rounded[near]))[:k]]
-
-
-def _search(visits: DataFrame, items: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
-    """Best k per query and block for the cells each query visits: (query_id, item_id, similarity)."""
-    query_blocks = F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks")
-    item_blocks = F.ceil(F.count("*") / ITEM_BLOCK).alias("item_blocks")
-    # One row per cell.
-    blocks = F.broadcast(visits.groupBy("cell").agg(query_blocks).join(items.groupBy("cell").agg(item_blocks), "cell"))
-
-    def spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
-        own_block = F.pmod(F.xxhash64(id_col), F.col(f"{own}_blocks")).alias(f"{own}_block")
-        return df.join(blocks, "cell").select(
-            id_col, "v", "cell", own_block, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
-        )
-
-    left = spread(visits, query_id, "query", "item")
-    right = spread(items, item_id, "item", "query")
-    schema = f"{query_id} {dict(visits.dtypes)[query_id]}, {item_id} {dict(items.dtypes)[item_id]}, similarity double"
-
-    def block(asked: pa.Table, offered: pa.Table) -> pa.Table:
-        out = {query_id: [], item_id: [], "similarity": []}
-        if asked.num_rows and offered.num_rows:
-            asked_ids = asked[query_id].to_numpy()
-            offered_ids = offered[item_id].to_numpy()
-            table = _matrix(asked["v"]) @ _matrix(offered["v"]).T
-            for row, asked_id in enumerate(asked_ids):
-                best = _best(table[row], offered_ids, k)
-                out[query_id].append(np.repeat(asked_id, len(best)))
-                out[item_id].append(offered_ids[best])
-                out["similarity"].append(table[row][best])
-        types = {query_id: asked.schema.field(query_id).type, item_id: offered.schema.field(item_id).type, "similarity": pa.float64()}
-        return pa.table(
-            {name: pa.array(np.concatenate(parts) if parts else [], type=types[name]) for name, parts in out.items()}
-        )
-
-    keys = ["cell", "query_block", "item_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, schema)
+def few_of_each(items: DataFrame, item_id: str, k: int) -> DataFrame:
+    """Of items (item_id, v) with the same vector the k first by id: no query has more of them among its k best."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy(item_id))
+    return items.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def keep_best(found: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
@@ -157,17 +114,20 @@ def top_k(
     Without `cells` there is one for every CELL_ROWS items, and LEAST_CELLS at least; the exact search has none.
     """
     asked, offered = usable(queries, query_id, vector), usable(items, item_id, vector)
+    tasks = items.sparkSession.sparkContext.defaultParallelism
     if probes is None:
-        codes = stored(quantised(offered, item_id), "codes")
+        codes = stored(quantised(few_of_each(offered, item_id, k).repartition(tasks, item_id), item_id), "codes")
         pairs = candidates(asked, codes, query_id, item_id, k)
         return keep_best(scored(pairs, asked, offered, query_id, item_id), query_id, item_id, k)
     if cells is None:
         n = max(1, offered.count())
         cells = min(n, max(math.ceil(n / CELL_ROWS), LEAST_CELLS))
     centroids = centroids_of(offered, cells, train_rows=train_rows)
-    placed = materialise(_into_cells(offered, centroids))  # read several times below
+    placed = _into_cells(few_of_each(offered, item_id, k), centroids).repartitionByRange(tasks, "cell", item_id)
+    codes = stored(quantised(placed, item_id, "cell"), "codes")
     visits = _nearest_cells(asked, centroids, min(probes, len(centroids)))
-    return keep_best(_search(visits, placed, query_id, item_id, k), query_id, item_id, k)
+    pairs = candidates(visits, codes, query_id, item_id, k, (ITEM_BLOCK, QUERY_BLOCK))
+    return keep_best(scored(pairs, asked, offered, query_id, item_id), query_id, item_id, k)
 
 
 def one_query(items: DataFrame, query: DataFrame, k: int, item_id: str = "job_id", vector: str = "embedding") -> DataFrame:

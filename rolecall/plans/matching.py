@@ -13,6 +13,7 @@ from rolecall.operators.knn import TIE_DIGITS, top_k
 from rolecall.operators.sentences import mean_vectors
 from rolecall.operators.substring_join import substring_join
 from rolecall.plans.listing import hydrate
+from rolecall.session import stored
 
 
 def name_variants(companies: DataFrame, alternates: DataFrame) -> DataFrame:
@@ -70,9 +71,9 @@ def match_jobs(
     """The k closest postings of each resume, with all posting fields, numbered by similarity.
 
     Postings of companies the resume names are left out after retrieval (`exclude_employers=False` keeps
-    them). Child tables are cut to the retrieved postings before they are aggregated.
+    them). The search is written once: several tables are cut to what it found, child tables before they are aggregated.
     """
-    found = top_k(resume_vectors, store.job_embeddings, k, **search_options)
+    found = stored(top_k(resume_vectors, store.job_embeddings, k, **search_options), "found")
     ids = found.select("job_id").distinct()
     jobs = store.job_info.join(ids.withColumnRenamed("job_id", "id"), "id", "left_semi")
     full = hydrate(

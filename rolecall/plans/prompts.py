@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolecall import fixed_values as fixed
 from rolecall.functions.text import fill_template
 from rolecall.plans.listing import sentence_lists, with_child_lists, with_company_names
+from rolecall.session import stored
 
 
 def _listed(column: str) -> Column:
@@ -42,8 +43,9 @@ def rerank_prompts(matches: DataFrame, resumes: DataFrame) -> DataFrame:
 def cover_letter_prompts(wanted: DataFrame, resumes: DataFrame, store) -> DataFrame:
     """(resume_id, job_id, prompt) for each wanted (resume_id, job_id) pair.
 
-    Only the wanted postings and their sentences are read on.
+    Only the wanted postings and their sentences are read on; the pairs are written once, as several tables are cut to them.
     """
+    wanted = stored(wanted.select("resume_id", "job_id"), "wanted")
     ids = wanted.select(F.col("job_id").alias("id")).distinct()
     jobs = store.job_info.join(ids, "id", "left_semi")
     lines = store.sentences.join(ids.withColumnRenamed("id", "job_id"), "job_id", "left_semi")

@@ -137,6 +137,32 @@ def test_exact_search_in_small_steps_and_many_chunks(spark, monkeypatch):
     assert knn.top_k(frame(spark, queries, "resume_id").limit(0), frame(spark, items, "job_id"), 10).count() == 0
 
 
+def test_a_task_holds_few_candidates_of_close_and_equal_vectors(spark):
+    """Thousands of vectors closer than a byte a number can tell apart, and hundreds of copies of one."""
+    rng = np.random.default_rng(11)
+    items = (rng.normal(size=16) + 5e-2 * rng.normal(size=(3000, 16))).astype(np.float32)
+    items[500:900] = items[500]
+    asked, offered = (knn.usable(frame(spark, v, name), name, "embedding") for v, name in ((items[450:550], "resume_id"), (items, "job_id")))
+    few = knn.few_of_each(offered, "job_id", 10)
+    assert few.count() == 3000 - 390
+    pairs = quantised.candidates(asked, quantised.quantised(few.coalesce(1), "job_id"), "resume_id", "job_id", 10)
+    assert 1000 <= pairs.count() < 2000
+    got = found(knn.top_k(frame(spark, items[450:550], "resume_id"), frame(spark, items, "job_id"), 10))
+    assert got == brute(items[450:550], items, 10)
+    cells = found(knn.top_k(frame(spark, items[450:550], "resume_id"), frame(spark, items, "job_id"), 10, cells=4, probes=4))
+    assert cells == got
+
+
+def test_bounds_halt_before_they_hold_too_much(monkeypatch):
+    monkeypatch.setattr(quantised, "HELD", 500)
+    codes, scale, slack = quantised.codes_of(np.tile([0.6, 0.8], (5000, 1)))
+    bounds, handed_on = quantised.Bounds(np.array([[0.6, 0.8], [1.0, 0.0]]), 10, 100, 1), 0
+    for _ in bounds.offer(0, codes, scale, slack):
+        assert bounds.held <= 700
+        handed_on += len(bounds.left()[0])
+    assert handed_on + len(bounds.left()[0]) == 10_000
+
+
 def test_missing_and_zero_vectors_are_left_out(spark):
     items = spark.createDataFrame([(0, None), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "job_id long, embedding array<float>")
     queries = spark.createDataFrame([(0, [1.0, 0.1]), (1, None)], "resume_id long, embedding array<float>")
@@ -252,6 +278,26 @@ def test_model_calls_are_retried_and_failures_kept_apart(spark):
     assert [(r.id, r.error) for r in failed.collect()] == [(2, "RuntimeError: no")]
 
 
+def test_few_answers_of_a_model_are_held_at_a_time(spark):
+    from pyspark.sql import types as T
+
+    class Answer(list):
+        live = 0
+
+        def __init__(self, *args):
+            super().__init__(*args)
+            Answer.live += 1
+
+        def __del__(self):
+            Answer.live -= 1
+
+    rows = spark.range(2000).coalesce(1).select("id", F.struct(F.col("id").alias("n"), F.array(F.lit("x"), F.lit(None))).alias("kept"))
+    kind = T.StructField("live", T.ArrayType(T.IntegerType()))
+    out = call_model(rows, "id", lambda value: Answer([Answer.live]), kind).collect()
+    assert {(r.id, r.kept.n, tuple(r.kept[1])) for r in out} == {(i, i, ("x", None)) for i in range(2000)}
+    assert max(r.live[0] for r in out) < 300
+
+
 def test_one_call_per_posting_in_sentence_order(spark):
     from rolecall.operators.sentences import rows_per_job, vectors_from_batches
 
