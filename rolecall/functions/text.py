@@ -85,6 +85,11 @@ def computed_once(df: DataFrame, keep, columns) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
+def _once(value: Column, use) -> Column:
+    """`use(value)` where `value` is costly and used several times: inside the lambda it is a finished value."""
+    return F.transform(F.array(value), use)[0]
+
+
 def or_placeholder(text: Column, placeholder: str | None = fixed.NO_DETAIL) -> Column:
     """Missing or empty detail becomes the placeholder; sources without one keep null."""
     present = F.when(text != "", text)
@@ -148,9 +153,12 @@ def _decode_one(piece: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode character references in one pass, so that a decoded `&` starts no new reference."""
-    pieces = F.split(text, "&")
-    decoded = F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_decode_one(piece)))
-    return F.when(has(text, "&"), F.array_join(decoded, "")).otherwise(text)
+
+    def decoded(whole: Column) -> Column:
+        pieces = F.transform(F.split(whole, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(_decode_one(piece)))
+        return F.when(has(whole, "&"), F.array_join(pieces, "")).otherwise(whole)
+
+    return _once(text, decoded)
 
 
 def without_silent(html: Column) -> Column:
@@ -208,8 +216,7 @@ def _inside(pieces: Column, tag: str) -> Column:
 
 def _inner(element: Column, tag: str) -> Column:
     """The inner HTML of the `tag` element that the text starts with; what follows its end is cut."""
-    pieces = _pieces(element, tag)
-    return F.array_join(F.slice(pieces, F.lit(1), _inside(pieces, tag)), "")
+    return _once(_pieces(element, tag), lambda pieces: F.array_join(F.slice(pieces, F.lit(1), _inside(pieces, tag)), ""))
 
 
 def element_html(
@@ -217,8 +224,8 @@ def element_html(
 ) -> Column:
     """Inner HTML of the first matching element, nested elements of the same tag included; else null."""
     parts = _split_before(without_silent(html) if clean else html, _opening(tag, css_class, element_id), 2)
-    rest = F.replace(F.get(parts, F.lit(1)), F.lit(_MARK), F.lit(""))
-    return F.when(F.size(parts) == 2, _inner(rest, tag))
+    rest = lambda parts: F.replace(F.get(parts, F.lit(1)), F.lit(_MARK), F.lit(""))
+    return _once(parts, lambda parts: F.when(F.size(parts) == 2, _inner(rest(parts), tag)))
 
 
 def element_text(html: Column, tag: str, css_class: str | None = None, element_id: str | None = None) -> Column:
@@ -233,26 +240,26 @@ def elements_html(html: Column, tag: str, css_class: str | None = None, clean: b
     read again over all that follows.
     """
     parts = _split_before(without_silent(html) if clean else html, _opening(tag, css_class, None))
-    cards = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    after_first = _once(parts, lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
 
-    def whole(card: Column, at: Column) -> Column:
+    def whole(cards: Column, card: Column, at: Column) -> Column:
         pieces = _pieces(card, tag)
-        read = F.struct(pieces.alias("pieces"), _inside(pieces, tag).alias("inside"))
+        read = _once(pieces, lambda pieces: F.struct(pieces.alias("pieces"), _inside(pieces, tag).alias("inside")))
         following = F.array_join(F.slice(cards, at + 1, F.size(cards)), "")
-        return F.transform(
-            F.array(read),
+        return _once(
+            read,
             lambda r: F.when(
                 (r["inside"] == F.size(r["pieces"])) & (at + 1 < F.size(cards)), _inner(following, tag)
             ).otherwise(F.array_join(F.slice(r["pieces"], F.lit(1), r["inside"]), "")),
-        )[0]
+        )
 
-    return F.transform(cards, whole)
+    return _once(after_first, lambda cards: F.transform(cards, lambda card, at: whole(cards, card, at)))
 
 
 def attribute(fragment: Column, tag: str, name: str) -> Column:
     """Decoded attribute of the first `tag` that has it, or null."""
     pattern = rf"""(?is)<{tag}\b[^>]*?\s{name}\s*=\s*["']([^"']*)["']"""
-    return F.when(fragment.rlike(pattern), decode_entities(F.regexp_extract(fragment, pattern, 1)))
+    return _once(fragment, lambda whole: F.when(whole.rlike(pattern), decode_entities(F.regexp_extract(whole, pattern, 1))))
 
 
 def script_json(html: Column, element_id: str) -> Column:

@@ -124,8 +124,9 @@ def _coupang(cards: DataFrame, as_of: Column) -> DataFrame:
 def _daangn(cards: DataFrame, as_of: Column) -> DataFrame:
     heading = text.text_of(text.element_html(F.col("card"), "h3", "c-boyXyq", clean=False), "", clean=False)
     path = text.attribute(F.col("card"), "a", "href")
-    rows = text.computed_once(cards, ["page", "at"], _row("daangn", text.drop_controls(heading), path))
-    return rows.where(F.col("id").isNotNull() & predicates.title_has_keyword(F.col("title")))
+    rows = text.computed_once(cards, ["page", "at"], [text.drop_controls(heading).alias("heading"), path.alias("path")])
+    kept = rows.where(F.col("path").isNotNull() & predicates.title_has_keyword(F.col("heading")))
+    return kept.select("page", "at", *_row("daangn", F.col("heading"), F.col("path")))
 
 
 def _line(cards: DataFrame, as_of: Column) -> DataFrame:
@@ -138,11 +139,11 @@ def _line(cards: DataFrame, as_of: Column) -> DataFrame:
     day = F.substring(text.text_of(text.element_html(F.col("card"), "span", "date", clean=False), "", clean=False), 1, 10)
     tags = text.text_of(text.element_html(F.col("card"), "div", "text_filter", clean=False), "", clean=False)
     path = text.attribute(F.col("card"), "a", "href")
-    rows = text.computed_once(
-        cards, ["page", "at"], [*_row("line", title, path, day=parse_date(day, DASHED, as_of)), tags.alias("tags")]
-    )
-    complete = F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("tags").isNotNull()
-    return rows.where(complete & predicates.engineering_card(F.col("tags"))).drop("tags")
+    read = {"heading": title, "path": path, "day": day, "tags": tags}
+    rows = text.computed_once(cards, ["page", "at"], [value.alias(name) for name, value in read.items()])
+    complete = F.col("path").isNotNull() & F.col("heading").isNotNull() & F.col("tags").isNotNull()
+    kept = rows.where(complete & predicates.engineering_card(F.col("tags")))
+    return kept.select("page", "at", *_row("line", F.col("heading"), F.col("path"), day=parse_date(F.col("day"), DASHED, as_of)))
 
 
 def cards(source: str, pages: DataFrame) -> DataFrame:
