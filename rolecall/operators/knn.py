@@ -126,7 +126,7 @@ def top_k(
     placed = _into_cells(few_of_each(offered, item_id, k), centroids).repartitionByRange(tasks, "cell", item_id)
     codes = stored(quantised(placed, item_id, "cell"), "codes")
     visits = _nearest_cells(asked, centroids, min(probes, len(centroids)))
-    pairs = candidates(visits, codes, query_id, item_id, k, (ITEM_BLOCK, QUERY_BLOCK))
+    pairs = candidates(visits, codes, query_id, item_id, k, (ITEM_BLOCK, QUERY_BLOCK)).distinct()
     return keep_best(scored(pairs, asked, offered, query_id, item_id), query_id, item_id, k)
 
 

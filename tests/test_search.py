@@ -153,6 +153,20 @@ def test_a_task_holds_few_candidates_of_close_and_equal_vectors(spark):
     assert cells == got
 
 
+def test_repeated_rows_count_as_often_as_they_are_there_in_cells(spark):
+    rng = np.random.default_rng(12)
+    items, queries = rng.normal(size=(60, 8)), rng.normal(size=(4, 8))
+    twice = np.concatenate([items, items[::3]])
+    ids = np.concatenate([np.arange(60), np.arange(60)[::3]])
+    offered = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, twice)], "job_id long, embedding array<float>")
+    got = {}
+    for r in knn.top_k(frame(spark, queries, "resume_id"), offered, 6, cells=3, probes=3).collect():
+        got.setdefault(r.resume_id, []).append((r["rank"], r.job_id))
+    q, v = (x.astype(np.float32).astype(float) for x in (queries, twice))
+    near = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 9)
+    assert {i: [j for _, j in sorted(rows)] for i, rows in got.items()} == {i: [int(ids[j]) for j in np.lexsort((ids, -near[i]))[:6]] for i in range(4)}
+
+
 def test_bounds_halt_before_they_hold_too_much(monkeypatch):
     monkeypatch.setattr(quantised, "HELD", 500)
     codes, scale, slack = quantised.codes_of(np.tile([0.6, 0.8], (5000, 1)))
