@@ -330,3 +330,22 @@ def test_the_whole_run_and_again(spark, tmp_path):
     assert len(kinds) == 10 and [n for n, active in kinds.items() if not active] == ["https://www.coupang.jobs/jobs/c1"]
     third, _ = run_batch(spark, root, rows.where("company_name <> '쿠팡'"), F.lit(later), call, **options)
     assert third.job_embeddings.where("embedding IS NOT NULL").count() == 8 and latest_version(spark, root) == version_name(12)
+
+
+def test_a_batch_is_read_as_often_as_it_is_kept(spark, tmp_path):
+    """Staged rows are computed once, and the latest row of a link once, however many tables are made from them."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = staged(spark, *[posting(n, f"title {n}") for n in range(5)])
+    frozen(spark, ingest.apply_batch(empty_store(spark), rows.mapInArrow(counted, rows.schema), F.lit(NOW)), tmp_path)
+    assert runs.value == 5
+
+
+def test_first_values_of_tied_and_missing_places(spark):
+    rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 3, "x"), ("b", None, "z"), ("c", 5, None)], "name string, seq long, parent string")
+    assert {r.name: r.parent for r in merge.first_values(rows, "name", "seq", "parent").collect()} == {"a": "x", "b": None, "c": None}
