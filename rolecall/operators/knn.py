@@ -1,7 +1,7 @@
 """Cosine top-k of many query vectors over many item vectors.
 
-The exact search bounds every similarity by quantised vectors and takes exact products of what the bounds leave
-(`quantised`). For the approximate one, items are grouped into cells around centroids, and a query searches its nearest
+The exact search brings items to the queries, each with the best that it has met (`nearest`); for few queries it bounds every
+similarity by quantised vectors and takes exact products of what the bounds leave (`quantised`). For the approximate one, items are grouped into cells around centroids, and a query searches its nearest
 cells only, in the same way; `graph` has an index that is kept.
 
 Items lie by cell, a large cell over several tasks, and do not move; queries come to them in broadcast chunks with the cells
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rolecall.functions.text import computed_once
 from rolecall.functions.vectors import cosine_distance
+from rolecall.operators.nearest import nearest
 from rolecall.operators.quantised import candidates, quantised, scored
 from rolecall.session import stored
 
@@ -31,6 +32,8 @@ QUERY_BLOCK, ITEM_BLOCK = 512, 4096
 CELL_ROWS = 65536
 LEAST_CELLS = 8
 TIE_DIGITS = 9
+#: Where items are more than so many times the queries, queries come to the items; else items come to the queries.
+FEW_QUERIES = 16
 
 
 def _matrix(column) -> np.ndarray:
@@ -116,6 +119,8 @@ def top_k(
     asked, offered = usable(queries, query_id, vector), usable(items, item_id, vector)
     tasks = items.sparkSession.sparkContext.defaultParallelism
     if probes is None:
+        if asked.count() * FEW_QUERIES >= offered.count():
+            return keep_best(nearest(asked, offered, few_of_each(offered, item_id, k), query_id, item_id, k), query_id, item_id, k)
         codes = stored(quantised(few_of_each(offered, item_id, k).repartition(tasks, item_id), item_id), "codes")
         pairs = candidates(asked, codes, query_id, item_id, k)
         return keep_best(scored(pairs, asked, offered, query_id, item_id), query_id, item_id, k)
