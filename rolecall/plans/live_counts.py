@@ -2,8 +2,8 @@
 
 Beside a store lies, for each version that was counted, a small table of counts (company, pair of company and affiliate,
 tag) and the state of each posting by id (company, affiliate, active), in buckets. Counting a later version reads the
-buckets of postings and tags whose place has changed since, takes old rows with -1 and new rows with +1, and adds what is
-left to the last counts. The tags of postings that were switched, and the state of postings whose tags changed, are read
+buckets of postings and tags whose place has changed since, takes old rows with -1 and new rows with +1, and adds the sums
+to the last counts. The tags of postings that were switched, and the state of postings whose tags may have changed, are read
 from the buckets of those ids. Names come from the store's dimension tables when counts are listed.
 """
 
@@ -96,21 +96,21 @@ def update(spark: SparkSession, root: str) -> DataFrame:
     read = lambda name, side: read_table(spark, root, name, moved[name][side])
 
     changes = stored(posting_changes(read("job_info", 0), read("job_info", 1)), "changes")
-    zero = F.lit(0)
-    new_active, old_active = (F.coalesce(F.col(f"{side}.is_active").cast("int"), zero) for side in ("new", "old"))
-    switched = changes.select(F.col("id").alias("job_id"), (new_active - old_active).alias("by")).where("by <> 0")
-
-    # tags of switched postings as they were, and changed tags of postings as they are: together all that changed
-    tag_buckets = _buckets_of(switched, buckets)
-    old_tags = read_table(spark, root, "job_tags", {b: p for b, p in before.get("job_tags", {}).items() if b in tag_buckets})
-    of_switched = old_tags.join(switched, "job_id").select("tag_id", "by")
-    signed = read("job_tags", 0).withColumn("by", F.lit(-1)).unionByName(read("job_tags", 1).withColumn("by", F.lit(1)))
-    tag_changes = stored(signed.groupBy("job_id", "tag_id").agg(F.sum("by").cast("int").alias("by")).where("by <> 0"), "tag-changes")
-    asked = _state(spark, root, state_paths, _buckets_of(tag_changes, buckets))
-    current = asked.join(changes.select("id"), "id", "left_anti").where("is_active").select("id")
-    current = current.union(changes.where("new.is_active").select("id"))
-    of_tagged = tag_changes.join(current, tag_changes["job_id"] == current["id"], "left_semi").select("tag_id", "by")
-    tag_deltas = of_switched.union(of_tagged).select(F.lit("tag").alias("kind"), F.col("tag_id").alias("a"), F.lit(None).cast("int").alias("b"), F.col("by").alias("n"))
+    was, now = (F.coalesce(F.col(f"{side}.is_active").cast("int"), F.lit(0)) for side in ("old", "new"))
+    marks = changes.select("id", was.alias("was"), now.alias("now"))
+
+    # each tag row counts by what its posting is: as it was where the row goes, as it is where the row comes, by the switch where it stays
+    switched = _buckets_of(marks.where("was <> now").select("id"), buckets)
+    staying = {b: p for b, p in before.get("job_tags", {}).items() if b in switched and b not in moved["job_tags"][0]}
+    rows = lambda tags, was, now: tags.select("job_id", "tag_id", F.lit(was).alias("by_was"), F.lit(now).alias("by_now"))
+    signed = rows(read("job_tags", 0), -1, 0).unionByName(rows(read("job_tags", 1), 0, 1)).unionByName(rows(read_table(spark, root, "job_tags", staying), -1, 1))
+    retagged = moved["job_tags"][0].keys() | moved["job_tags"][1].keys()
+    others = _state(spark, root, state_paths, retagged).where("is_active").join(changes.select("id"), "id", "left_anti")
+    # where no tags came or went, postings that are as they were have no part
+    counted = marks.where("was + now > 0" if retagged else "was <> now").unionByName(others.select("id", F.lit(1).alias("was"), F.lit(1).alias("now")))
+    by = (F.col("by_was") * F.col("was") + F.col("by_now") * F.col("now")).alias("n")
+    of_tags = signed.join(counted, signed["job_id"] == counted["id"])
+    tag_deltas = of_tags.select(F.lit("tag").alias("kind"), F.col("tag_id").alias("a"), F.lit(None).cast("int").alias("b"), by)
 
     parts = [_signed(changes, "old", -1), _signed(changes, "new", 1), tag_deltas]
     if last:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Observation
@@ -13,6 +14,8 @@ from rolecall.functions import predicates
 from rolecall.functions.dates import recency_flags
 from rolecall.operators import merge
 from rolecall.plans import facets, ingest, listing, live_counts
+from rolecall.plans.store import empty_store, table_schema
+from rolecall.session import stored
 from rolecall.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -150,3 +153,36 @@ def test_one_choice_equals_the_listing_filter(fx, lists):
     named = listing.with_company_names(listing.active(fx.job_info), fx.companies, fx.affiliate_companies)
     tagged = listing.with_child_lists(named, listing.tag_arrays(fx.job_tags, fx.tags), "tags").select("*", *recency_flags(F.col("uploaded_date"), as_of()))
     assert facets.chosen_count(facets.chosen(lists, as_of(), **choice)).first().job_count == tagged.where(predicates.facet_match(**choice)).count()
+
+
+def test_tags_that_come_go_and_stay_are_counted_in_one_pass(spark, tmp_path, monkeypatch):
+    """Rows that come twice count twice; no table of the tags' differences is made before they meet their postings."""
+    root, schema = str(tmp_path), table_schema("job_info")
+    active = [{"a": True, "b": True, "c": False, "d": None, "e": True}, {"a": True, "b": False, "c": True, "e": True, "f": True}]
+    tags = [
+        [("a", 1), ("a", 1), ("a", None), ("b", 1), ("b", 2), ("c", 3), ("e", 2), ("gone", 4), (None, 5)],
+        [("a", 1), ("a", 3), ("b", 1), ("b", 3), ("c", 3), ("c", 4), ("d", 1), ("e", 2), ("f", 2), ("f", 2), (None, 5)],
+    ]
+
+    def tables_of(now, rows):
+        jobs = [tuple({"id": i, "link": f"l{i}", "company_id": 1, "affiliate_company_id": 1, "is_active": on}.get(name) for name in schema.names) for i, on in now.items()]
+        return {"job_info": spark.createDataFrame(jobs, schema), "job_tags": spark.createDataFrame(rows, table_schema("job_tags"))}
+
+    def counted():
+        return {r.a: r.n for r in live_counts.update(spark, root).where("kind = 'tag'").collect()}
+
+    def plain(now, rows):
+        return dict(Counter(tag for job, tag in rows if now.get(job)))
+
+    tables.write_store(spark, empty_store(spark).with_tables(**tables_of(active[0], tags[0])), root, tables.version_name(0), buckets=4)
+    written = []
+    monkeypatch.setattr(live_counts, "stored", lambda df, name: written.append(name) or stored(df, name))
+    assert counted() == plain(active[0], tags[0])
+    # postings and tags at once, then only postings, then only tags
+    tables.next_store(spark, root, tables_of(active[1], tags[1]))
+    assert counted() == plain(active[1], tags[1])
+    tables.next_store(spark, root, {"job_info": tables_of(active[0], tags[1])["job_info"]})
+    assert counted() == plain(active[0], tags[1])
+    tables.next_store(spark, root, {"job_tags": tables_of(active[0], tags[0])["job_tags"]})
+    assert counted() == plain(active[0], tags[0])
+    assert written == ["changes"] * 4
