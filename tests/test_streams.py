@@ -74,6 +74,37 @@ def test_a_posting_not_seen_for_a_day_goes_off_and_stays_off(spark, tmp_path):
     assert read_store(spark, root).job_info.count() == 3
 
 
+def test_state_lies_on_disk_and_the_session_stays_as_it_was(spark, tmp_path):
+    landing, root, progress = tmp_path / "landing", str(tmp_path / "store"), tmp_path / "progress"
+    write_store(spark, empty_store(spark), root, version_name(0), buckets=4)
+    settings = lambda: {key: spark.conf.get(key, None) for key in current.STATE}
+    before = settings()
+    for number, hours in enumerate((0, 40)):
+        land(landing, number, [(posting(number, "a"), hours), (posting(number + 5, f"b{number}"), hours)])
+        store = current.ingest_available(spark, str(landing), root, str(progress), F.lit(NOW))
+    assert {r.link: r.is_active for r in store.job_info.collect()} == {"a": False, "b0": False, "b1": True}
+    for stream in ("latest", "stale"):
+        files = {p.suffix for p in (progress / stream / "state" / "0").rglob("*") if p.is_file() and not p.name.startswith(".")}
+        # snapshots of RocksDB; rows that executors hold in their heap are written as .delta
+        assert ".zip" in files and ".delta" not in files
+    assert settings() == before
+
+
+def test_a_batch_of_stale_links_is_computed_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    write_store(spark, ingest.apply_batch(empty_store(spark), staged(spark, *[r for r, _ in ROWS]), F.lit(NOW)), root, version_name(0), buckets=4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def stale(*links):
+        rows = spark.sparkContext.parallelize(links, 2).map(lambda link: (seen.add(1), (link,))[1])
+        return spark.createDataFrame(rows, "link string")
+
+    current.switch_off(stale("l1", "l2", "l2"), root, "stale", 0)
+    assert {r.link for r in read_store(spark, root).job_info.where("NOT is_active").collect()} == {"l1", "l2"} and seen.value == 3
+    current.switch_off(stale(), root, "stale", 1)
+    assert latest_version(spark, root) == version_name(1)
+
+
 SCHEMA = "conv long, seq long, text string, is_end boolean, at timestamp"
 
 
