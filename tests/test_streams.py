@@ -90,6 +90,19 @@ def test_state_lies_on_disk_and_the_session_stays_as_it_was(spark, tmp_path):
     assert settings() == before
 
 
+def test_merges_of_a_stream_with_state_are_planned_as_the_session_says(spark, tmp_path):
+    land(tmp_path / "landing", 0, [(posting(1, "a"), 0)])
+    land(tmp_path / "landing", 1, [(posting(2, "b"), 40)])
+    seen, usual = [], spark.conf.get("spark.sql.adaptive.enabled")
+
+    def merge(batch, stream, number):
+        seen.append((batch.sparkSession.conf.get("spark.sql.adaptive.enabled"), sorted(r.link for r in batch.collect())))
+
+    # a batch for each file, and one that the last watermark makes
+    current._run(current.gone_stale(current.landed(spark, str(tmp_path / "landing"), 1)), "append", str(tmp_path / "progress"), merge)
+    assert {s for s, _ in seen} == {usual} == {"true"} and [x for _, links in seen for x in links] == ["a"]
+
+
 def test_a_batch_of_stale_links_is_computed_once(spark, tmp_path):
     root = str(tmp_path / "store")
     write_store(spark, ingest.apply_batch(empty_store(spark), staged(spark, *[r for r, _ in ROWS]), F.lit(NOW)), root, version_name(0), buckets=4)
